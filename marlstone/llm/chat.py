@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 OPEN, SPLIT, NEXT, CLOSE = "### ", ":\n", "<next>", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 
@@ -35,9 +37,10 @@ def prefix_sums(lens: Column, n: Column) -> Column:
     """The sum of all entries before each, in n * sqrt(n) steps."""
     width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
     add = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / width).cast("int")), lambda b: add(F.slice(lens, b * width + 1, width)))
-    before = F.transform(blocks, lambda _, b: add(F.slice(blocks, F.lit(1), b)))
-    return F.transform(lens, lambda _, i: F.get(before, F.floor(i / width).cast("int")) + add(F.slice(lens, (F.floor(i / width) * width + 1).cast("int"), (i % width).cast("int"))))
+    sums = F.transform(F.sequence(F.lit(0), F.floor(n / width).cast("int")), lambda b: add(F.slice(lens, b * width + 1, width)))
+    before = let(sums, lambda blocks: F.transform(blocks, lambda _, b: add(F.slice(blocks, F.lit(1), b))))
+    at = lambda blocks, i: F.get(blocks, F.floor(i / width).cast("int")) + add(F.slice(lens, (F.floor(i / width) * width + 1).cast("int"), (i % width).cast("int")))
+    return let(before, lambda blocks: F.transform(lens, lambda _, i: at(blocks, i)))
 
 
 def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -63,21 +66,18 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     whole = lambda x: F.concat(x["head"], x["body"], x["tail"])
     sized = pieces.select("conv_id", "p", F.array_join(F.transform("p", whole), "").alias("formatted"), F.transform("p", lambda x: F.char_length(whole(x)).cast("long")).alias("lens"))
     placed = sized.select("conv_id", "formatted", "p", prefix_sums(F.col("lens"), F.size("lens")).alias("at"))
-    spans = F.transform("p", lambda x, i: F.struct((F.get("at", i) + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("len"), x["loss"].alias("loss")))
-    masked = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["len"]))
+    span = lambda x, start: F.struct((start + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("len"), x["loss"].alias("loss"))
+    masked = F.transform(F.filter(F.zip_with("p", "at", span), lambda s: s["loss"]), lambda s: F.struct(s["start"], s["len"]))
     return placed.select("conv_id", "formatted", masked.alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
     """The array of (role, text) that a formatted conversation holds, adjacent turns apart."""
-    blocks = F.split(formatted, "</turn>\n")
-    blocks = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-
     def block(b: Column) -> Column:
         role, body = unescape(F.substring_index(F.substr(b, F.lit(len(OPEN) + 1)), SPLIT, 1)), F.substr(b, F.instr(b, SPLIT) + len(SPLIT))
-        return F.transform(F.split(body, NEXT), lambda text: F.struct(role.alias("role"), unescape(text).alias("text")))
+        return let(role, lambda r: F.transform(F.split(body, NEXT), lambda text: F.struct(r.alias("role"), unescape(text).alias("text"))))
 
-    return F.flatten(F.transform(blocks, block))
+    return F.flatten(F.transform(F.filter(F.split(formatted, CLOSE), lambda b: b != ""), block))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:

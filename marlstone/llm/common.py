@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def crc_mod(column: str | Column, n: int) -> Column:
+def crc_rest(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
-    return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n
+    return F.crc32(F.col(column).cast("string")) % n
 
 
-def crc_mod_py(value: int, n: int) -> int:
-    return crc32(str(value).encode()) % n
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; a lambda would compute it anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -96,7 +96,3 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
             h = mix((h + GOLDEN) ^ hashes[i : len(hashes) - k + 1 + i])
     return h
 
-
-def first_of(df: DataFrame, name: str) -> str:
-    """The column of that name; a clash in letter case is refused by Spark, so none is guessed."""
-    return df.columns[[c.lower() for c in df.columns].index(name.lower())]

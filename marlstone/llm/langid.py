@@ -33,17 +33,20 @@ def grams(chars: np.ndarray, n: int) -> np.ndarray:
 class Bayes:
     """log P(gram | language) as a matrix of 2**BITS rows, log P(language), and the languages."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.langs = sorted({lang for lang, _ in rows})
-        counts = np.full((1 << BITS, len(self.langs)), SMOOTH)
-        docs = np.zeros(len(self.langs))
+    def __init__(self, langs: list[str], logp: np.ndarray, prior: np.ndarray):
+        self.langs, self.logp, self.prior = langs, logp, prior
+
+    @classmethod
+    def learn(cls, rows: list[tuple[str, str]]) -> Bayes:
+        langs = sorted({lang for lang, _ in rows})
+        counts = np.full((1 << BITS, len(langs)), SMOOTH)
+        docs = np.zeros(len(langs))
         for lang, text in rows:
-            k, chars = self.langs.index(lang), code_points(text)
+            k, chars = langs.index(lang), code_points(text)
             docs[k] += 1
             for n in ORDERS:
                 counts[:, k] += np.bincount(grams(chars, n), minlength=1 << BITS)
-        self.logp = np.log(counts / counts.sum(0)).astype(np.float32)
-        self.prior = np.log(np.maximum(docs, 1) / max(1.0, docs.sum()))
+        return cls(langs, np.log(counts / counts.sum(0)).astype(np.float32), np.log(np.maximum(docs, 1) / max(1.0, docs.sum())))
 
     def sums(self, texts: list[str]) -> np.ndarray:
         """Log joint probability of each text with each language; long texts go in slices, short ones together."""
@@ -94,24 +97,25 @@ def train(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Bayes:
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= chars))
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
-        return Bayes([])
+        return Bayes.learn([])
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) / 1_000_003
-    return Bayes([(r[0], r[1]) for r in usable.where(drawn < share).select("lang", "text").limit(2 * rows * len(counts)).collect()])
+    return Bayes.learn([(r[0], r[1]) for r in usable.where(drawn < share).select("lang", "text").limit(2 * rows * len(counts)).collect()])
 
 
 def identify(docs: DataFrame, model: Bayes) -> DataFrame:
     """docs with lang_pred and score; see predict_languages."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.prior))
     at = docs.columns.index("text")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bayes = Bayes(*shared.value)
         for b in batches:
-            langs, scores = shared.value.predict(b.column(at).to_pylist())
+            langs, scores = bayes.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

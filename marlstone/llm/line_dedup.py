@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let
 
 SPACE = " \t\n\u000b\u000c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,15 +79,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 def runs(gone: Column, n_lines: Column) -> Column:
     """The run-length bitmap of kept lines: array of (start, len)."""
-    edges = F.concat(F.array(F.lit(-1)), gone, F.array(n_lines.cast("int")))
-    between = F.transform(F.sequence(F.lit(2), F.size(edges)), lambda i: F.struct((F.element_at(edges, i - 1) + 1).alias("start"), (F.element_at(edges, i) - F.element_at(edges, i - 1) - 1).alias("len")))
-    return F.filter(between, lambda r: r["len"] > 0)
+    def between(edges: Column) -> Column:
+        run = lambda i: F.struct((F.get(edges, i) + 1).alias("start"), (F.get(edges, i + 1) - F.get(edges, i) - 1).alias("len"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), run), lambda r: r["len"] > 0)
+
+    return let(F.concat(F.array(F.lit(-1)), gone, F.array(n_lines.cast("int"))), between)
 
 
 def apply_runs(text: Column, keep: Column) -> Column:
     """The kept lines, joined by \\n."""
-    lines = lines_of(text)
-    return F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
+    return let(lines_of(text), lambda lines: F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -67,7 +67,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: fl
     left = total_share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     level = left / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     per = per.withColumn("level", level).withColumn("full", F.col("level") > F.col("cap") / F.col("w"))
-    per = per.withColumn("level", F.min(F.when(~F.col("full"), F.col("level"))).over(whole))
+    per = per.withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(whole))
     return per.select("source", "n_rows", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
