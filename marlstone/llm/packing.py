@@ -12,7 +12,7 @@ Nothing is shuffled; memory is one window and one document.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -21,34 +21,33 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import text_bytes
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
-ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 class ChunkIds(dict):
-    """Ids (little-endian uint32 bytes) of a run of text between ASCII white space.
+    """Ids (little-endian uint32 bytes) of a run of UTF-8 between ASCII white space.
 
     The tokenizers used drop white space and never join across it, so the ids of a
-    text are those of its runs; a run is encoded once while it is remembered.
+    text are those of its runs. The first `limit` runs are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
-    def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
+    def __missing__(self, run: bytes) -> bytes:
+        ids = array("I", self.tokenizer.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+        if len(run) <= 64 and len(self) < self.limit:
             self[run] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, ASCII_SPACE.split(text))))
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def assign(lengths: np.ndarray, room: np.ndarray, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
@@ -114,8 +113,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, eos: int =
             waiting = sum(len(w[3]) // 4 for w in window)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = chunks.of(text.as_py() or "") + tail
+            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                ids = chunks.of(text) + tail
                 tokens = len(ids) // 4
                 whole = tokens - tokens % capacity
                 for start in range(0, whole, capacity):

@@ -49,4 +49,4 @@ def test_longest_first_to_the_lowest_cost():
 def test_special_strings_and_spaces():
     tok = Tokenizer.from_file(PATH)
     for text in ("a\u00a0b\u2003c", "x<|endoftext|>y z", "e\u0301 \u0301 A\u030a", "ΣΑΣ ΣΑΣ'S don't", "\u1680\u180e\ufeff q", "\x1c\x85a"):
-        assert np.frombuffer(packing.ChunkIds(PATH).of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.ChunkIds(PATH).of(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
