@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null gives b''."""
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
@@ -67,17 +75,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word (bytes) -> its 64-bit hash, eight bytes little endian. Forgets all beyond `limit` words."""
+    """Word (bytes) -> its 64-bit hash, eight bytes little endian. Remembers the first `limit` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
+        if len(word) <= 64 and len(self) < self.limit:
             self[word] = h
         return h
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Orders of n-grams, bits of their hashes, and what is added to each count.
 ORDERS, BITS, SMOOTH = (1, 2, 3), 15, 0.5
 #: A bounded sample is learned from: rows of a language, their longest text, languages.
@@ -114,7 +116,7 @@ def identify(docs: DataFrame, model: Bayes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bayes = Bayes(*shared.value)
-        for b in batches:
+        for b in sliced(batches):
             langs, scores = bayes.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

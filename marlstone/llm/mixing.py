@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, sums, text_buffer
+from .common import checkpointed, mix, sliced, sums, text_buffer
 
 WEIGHTS = (3, 1, 2)
 #: A source's rows for each bucket, and buckets that meet in one of the next level.
@@ -50,7 +50,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, th, source, size): th is the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(count_words(b.column(3)))], ["doc_id", "th", "source", "size"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "source", "text").mapInArrow(run, "doc_id long, th long, source string, size long")

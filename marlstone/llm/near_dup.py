@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, mix, shingles, text_bytes
+from .common import WordHashes, checkpointed, mix, shingles, sliced, text_bytes
 from .components import UnionFind, components
 from .minhash import band_hashes, signatures
 
@@ -32,7 +32,7 @@ ESTIMATE = 0.57
 SMALL_BUCKET, BLOCK_SHINGLES = 16, 1 << 20
 #: Up to so many classes in candidate pairs, their ids are broadcast.
 BROADCAST_IDS = 1_000_000
-ELEMENTS = 60_000
+ELEMENTS = 40_000
 #: Where doc_id is null, classes have numbers from here on.
 NO_ID = 1 << 62
 
@@ -46,7 +46,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             ids, ths, texts = b.column(0), b.column(1), text_bytes(b.column(2))
             at = 0
             while at < len(texts):
@@ -93,11 +93,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
-            texts = text_bytes(b.column(1))
-            for at in range(0, len(texts), 256):
-                sets = [s.tobytes() for s in shingle_sets(texts[at : at + 256], width, hashes)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(sets, pa.binary())], ["node", "shingles"])
+        for b in sliced(batches, 256):
+            sets = [s.tobytes() for s in shingle_sets(text_bytes(b.column(1)), width, hashes)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return found.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
@@ -116,7 +114,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
@@ -165,7 +163,7 @@ def links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
             group.clear()
 
-        for b in batches:
+        for b in sliced(batches):
             for *here, node, part, shingle in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if here != at:
                     yield from close()
@@ -193,8 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     nodes = checkpointed(classes.select(node.alias("node"), "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), "copies", "n", "sig", "bands"))
 
     member = nodes.select("node", "copies", "n", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max(F.struct("copies", -F.col("node"))).alias("hub")).where("k > 1")
-    member = checkpointed(member.join(bucket.select("key", "k", "total", (-F.col("hub.col2")).alias("hub")), "key").select("key", "node", "k", "total", "hub"))
+    bucket = member.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max_by("node", "copies").alias("hub")).where("k > 1")
+    member = checkpointed(member.join(bucket, "key").select("key", "node", "k", "total", "hub"))
     small = member.where(F.col("k") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("x"))
     small = small.select("x", F.explode("x").alias("a")).select("a", F.explode(F.filter("x", lambda b: b > F.col("a"))).alias("b"))
     large = member.where(F.col("k") > SMALL_BUCKET)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import sliced, text_bytes
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, eos: int =
             window = [(window[i][0], window[i][1] + s, window[i][2], window[i][3][4 * s :]) for i, s in left]
             waiting = sum(len(w[3]) // 4 for w in window)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 ids = chunks.of(text) + tail
                 tokens = len(ids) // 4

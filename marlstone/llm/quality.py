@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, shingles, sums, text_buffer, text_bytes
+from .common import WordHashes, checkpointed, shingles, sliced, sums, text_buffer, text_bytes
 
 #: A host is rejected if its shrunk failure rate is at least this.
 HOST_RATE = 0.5
@@ -54,7 +54,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             offsets, data = text_buffer(b.column(2))
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
             per = []
