@@ -1,0 +1,76 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from marlstone.llm import pii
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = {}
+    for kind, rule in RULES.items():
+        spans = []
+        for m in re.finditer(rule, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            checks = {"email": lambda m=m: True, "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda d=digits: 13 <= len(d) <= 19 and pii.luhn(d), "phone": lambda d=digits: 9 <= len(d) <= 15}
+            if checks[kind]():
+                spans.append(m.span())
+        out[kind] = spans
+    return out
+
+
+def test_rules_against_plain_patterns():
+    r = random.Random(5)
+    for _ in range(6000):
+        text = "".join(r.choice(["a", "b.", "@", "-", ".", "1", "23", " ", "+4", "(5", ")", "é", "255.", "4111111111111111", "\n"]) for _ in range(r.randrange(25)))
+        got = pii.base_spans(text)
+        assert {k: got[k] for k in RULES} == brute(text), text
+
+
+def test_long_runs_stay_linear():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@a" * 100_000, "+1 " * 70_000):
+        pii.base_spans(text)
+
+
+def test_crf_decodes_best_path_and_generalises():
+    crf = pii.Crf.fit(pii.labelled_table())
+    held = pii.labelled_table(120, seed=99)
+    words = pii.Words(crf)
+    ids, lengths = np.array([words[w] for ws, _ in held for w in ws]), np.array([len(ws) for ws, _ in held])
+    labels = "".join(crf.LABELS[i] for i in crf.decode(ids, lengths, np.array(words.rows)))
+    gold = "".join(t for _, t in held)
+    assert np.mean([(a == "s") == (b == "s") for a, b in zip(labels, gold, strict=True)]) > 0.99
+    for ws, _ in [h for h in held if len(h[0]) <= 6][:20]:
+        e = [crf.emission(w) for w in ws]
+        best = max(itertools.product(range(3), repeat=len(ws)), key=lambda p: sum(e[i][p[i]] for i in range(len(p))) + sum(crf.step[a, b] for a, b in itertools.pairwise(p)))
+        got = crf.decode(np.array([words[w] for w in ws]), np.array([len(ws)]), np.array(words.rows))
+        assert tuple(got.tolist()) == best
+
+
+@pytest.mark.parametrize("table", ["docs", "odd_docs", "no_docs"])
+def test_tables(request, table):
+    df = request.getfixturevalue(table)
+    got = pii.find_personal_data(df).collect()
+    want = sorted(((r.doc_id, *(len(v) for v in brute(r.text or "").values())) for r in df.collect()), key=str)
+    assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got), key=str) == want
+    text = {r.doc_id: r.text for r in df.collect()}
+    for r in got:
+        for span in filter(None, r.spans.split(",")):
+            kind, start, end = span.split(":")
+            if kind == "secret":
+                assert re.fullmatch(r"[0-9A-Za-z_]{12,}", text[r.doc_id][int(start) : int(end)])
+
+
+def test_secret_span(spark):
+    df = spark.createDataFrame([(1, 'é un token = "1eb9c654e721b4f812088970e66a6345cee33dd6"### the.92@mail2.example.com the\nplain')], "doc_id long, text string")
+    r = pii.find_personal_data(df).first()
+    assert "secret:" in r.spans and r.n_email == 1 and r.spans.startswith("email:")
