@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, line_dedup, mixing, near_dup, packing, pii, quality
+from . import ann, chat, langid, line_dedup, mixing, near_dup, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir)).drop("th")
 
@@ -73,7 +78,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_near_dup, op5_mixing, op6_language_id, op7_quality_rules, op8_nearest_neighbours, op9_personal_data, op10_chat_format)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_toxicity, op4_near_dup, op5_mixing, op6_language_id, op7_quality_rules, op8_nearest_neighbours, op9_personal_data, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
