@@ -77,8 +77,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_toxicity, op4_near_dup, op5_mixing, op6_language_id, op7_quality_rules, op8_nearest_neighbours, op9_personal_data, op10_chat_format)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_toxicity, op4_near_dup, op5_mixing, op6_language_id, op7_quality_rules, op8_nearest_neighbours, op9_personal_data, op10_chat_format, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
