@@ -493,3 +493,53 @@ def confirmed_sections(s, d):
 @query("SELECT event_type, CAST(sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS n FROM events GROUP BY 1")
 def signed_log_counts(s, d):
     return streams.signed_counts(ad.table(s, d, "events").withColumn("removed", F.col("event_id") % 3 == 0), "event_type")
+
+
+# --- bloom index, networks, pools
+def log_blooms(s, d):
+    from marlstone.operators import bloom
+
+    x = ad.logs(s, d).where("block_number < 40")
+    x = x.select("block_number", F.concat(F.lit("a"), F.col("address").cast("string")).cast("binary").alias("a"), F.concat(F.lit("t"), F.get("topics", F.lit(0))).cast("binary").alias("t"))
+    return bloom.set_bits(x, ["a", "t"])
+
+
+@query(f"WITH {LOGS} SELECT block_number, tx_hash, pos, address, data FROM logs WHERE block_number < 40 AND address IN (3, 4) AND t0 = 'R'")
+def log_filter_bloom_index(s, d):
+    from marlstone.operators import bloom
+
+    near = bloom.candidates(bloom.index(log_blooms(s, d), 16), [[b"a3", b"a4"], [b"tR"]], 16)
+    return c.log_filter(ad.logs(s, d).join(near, "block_number", "left_semi"), addresses=(3, 4), topics=(("R",),)).select(*LOG_COLUMNS)
+
+
+@query("SELECT user_id, '10.' || user_id % 7 || '.' || user_id % 3 || '.9' AS ip FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 7 BETWEEN 4 AND 5")
+def node_filter_network(s, d):
+    from marlstone.functions.codecs import in_network
+
+    u = F.col("user_id")
+    ip = F.concat(F.lit("10."), (u % 7).cast("string"), F.lit("."), (u % 3).cast("string"), F.lit(".9"))
+    return ad.table(s, d, "events").select("user_id", ip.alias("ip")).distinct().where(in_network(F.col("ip"), "10.4.0.0/15"))
+
+
+@query(f"WITH {TXS}, p AS (SELECT sender AS account, tx_hash AS nonce, reward, min(CASE WHEN reward > 150000 THEN tx_hash END) OVER (PARTITION BY sender) AS low FROM txs) SELECT account, nonce FROM p WHERE low IS NULL OR nonce < low")
+def pool_filter_strict(s, d):
+    from marlstone.operators import pool
+
+    p = ad.txs(s, d).select(F.col("sender").alias("account"), F.col("tx_hash").alias("nonce"), "reward")
+    return pool.drop_costly(p, F.col("reward") > 150_000).select("account", "nonce")
+
+
+@query(f"WITH {TXS} SELECT sender AS tx, CAST(max(gas_used % 4) AS BIGINT) AS deepest, count(*) AS steps FROM txs GROUP BY 1")
+def tracer_depths(s, d):
+    from marlstone.operators import pool
+
+    steps = ad.txs(s, d).select(F.col("sender").alias("tx"), F.col("tx_hash").alias("seq"), (F.col("gas_used") % 4).alias("depth"))
+    return pool.run_tracer("depths", steps)
+
+
+@query(f"WITH {TXS}, c AS (SELECT sender AS tx, tx_hash AS seq, gas_used % 4 AS depth FROM txs) SELECT tx, seq, CASE WHEN depth > 0 THEN (SELECT max(p.seq) FROM c p WHERE p.tx = c.tx AND p.seq < c.seq AND p.depth = c.depth - 1) END AS parent FROM c")
+def call_tree_parents(s, d):
+    from marlstone.operators import pool
+
+    calls = ad.txs(s, d).select(F.col("sender").alias("tx"), F.col("tx_hash").alias("seq"), (F.col("gas_used") % 4).cast("int").alias("depth"))
+    return pool.call_parents(calls).select("tx", "seq", "parent")
