@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def ranked(counts: DataFrame, group: list[str], least_keys: int = 1) -> DataFram
     return out if least_keys <= 1 else out.withColumn("_k", F.count("*").over(whole)).where(F.col("_k") >= least_keys).drop("_k")
 
 
+def ranked_wide(counts: DataFrame, group: list[str]) -> DataFrame:
+    """As ranked, for groups too large for one task: ranges of the sorted whole are numbered by themselves, then moved on by what lies before them."""
+    order = [F.desc("n"), F.asc("key")]
+    spark = counts.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
+    ranged = counts.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)))
+    sizes = ranged.groupBy("_range", *group).agg(F.count("*").alias("_k"))  # a row for each range and group in it
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    return inside.join(moved, ["_range", *group]).withColumn("id", F.col("_i") + F.col("_before")).drop("_range", "_i", "_before")
+
+
 def classify_updates(trace: DataFrame, snapshot: DataFrame) -> DataFrame:
     """trace with new_op: a Put or BatchPut is an Update if its key is in snapshot (key) or was written before."""
     write = F.col("op_type").isin("Put", "BatchPut")

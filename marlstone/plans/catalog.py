@@ -51,6 +51,11 @@ def distribution_merge(s, d):
     return a.ranked(parts.groupBy("category", "bucket", "key").agg(F.sum("n").alias("n")), ["category", "bucket"])
 
 
+@query(SQL["distribution_merge"])
+def distribution_ranked_wide(s, d):
+    return a.ranked_wide(a.key_counts(ad.trace(s, d)), ["category", "bucket"])
+
+
 @query(f"WITH {TRACE} SELECT category, op_type, count(*) AS n FROM trace GROUP BY ALL")
 def count_merge(s, d):
     return a.op_counts(batched(s, d), "batch").groupBy("category", "op_type").agg(F.sum("n").alias("n"))
