@@ -83,6 +83,47 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: Words and hosts as in quality.judge; one row per doc_id is assumed.
+QUALITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)) AS failed
+  FROM f GROUP BY source),
+prior AS (SELECT least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS mean, var_pop(failed / n) AS spread FROM hosts),
+strength AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2), 1e6) ELSE 1e6 END AS s FROM prior),
+bad AS (SELECT source FROM hosts, strength WHERE (failed + s * mean) / (n + s) >= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, b.source IS NOT NULL AS host_rejected, NOT base_failed AND b.source IS NULL AS kept
+FROM f LEFT JOIN bad b ON f.source IS NOT DISTINCT FROM b.source
+"""
+
+#: All pairs that share a shingle, by an inverted list; one row per doc_id is assumed.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, t.b FROM reach r JOIN ways t ON r.b = t.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN low ON w.doc_id = low.doc_id
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_toxicity, op4_near_dup, op5_mixing, op6_language_id, op7_quality_rules, op8_nearest_neighbours, op9_personal_data, op10_chat_format, pipeline)}
 
@@ -90,5 +131,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": "WITH " + line_dedup.SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256 FROM line_docs",
+        "op4_near_dup": NEAR_SQL,
+        "op7_quality_rules": QUALITY_SQL,
         "op10_chat_format": chat.SQL,
     }
