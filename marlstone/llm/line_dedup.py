@@ -96,17 +96,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     Columns of docs with one of these names are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text", "__id", "__th")
-    gone = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    docs = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text")
+    gone = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"doc_id": "__id", "th": "__th", "gone": "__gone", "n_dropped": "__dropped"})
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     n_lines = F.size(lines_of(F.col("text")))
-    keep = F.when(F.col("gone").isNotNull(), runs(F.col("gone"), n_lines)).otherwise(F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("len"))))
+    keep = F.when(F.col("__gone").isNotNull(), runs(F.col("__gone"), n_lines)).otherwise(F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("len"))))
     return joined.select(
         *[F.col(c) for c in docs.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.col("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         keep.alias("keep_runs"),
-        F.when(F.col("gone").isNotNull(), apply_runs(F.col("text"), runs(F.col("gone"), n_lines))).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("kept_text"),
+        F.when(F.col("__gone").isNotNull(), apply_runs(F.col("text"), runs(F.col("__gone"), n_lines))).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("kept_text"),
     )
 
 

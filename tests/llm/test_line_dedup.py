@@ -43,7 +43,7 @@ def test_common_keys_take_the_other_way(spark, monkeypatch):
 
 def test_bitmap_and_clashing_columns(spark):
     line = "the same line in three documents"
-    df = spark.createDataFrame([(i, f"a\n{line}\nb\n{line}", "x", 1) for i in range(3)], "doc_id long, text string, n_lines string, GONE int").drop("GONE").withColumn("th", F.lit(1))
+    df = spark.createDataFrame([(i, f"a\n{line}\nb\n{line}", "x", 1) for i in range(3)], "doc_id long, text string, n_lines string, GONE int").withColumn("th", F.lit(1)).withColumn("pos", F.lit(2))
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert [tuple(x) for x in out[0].keep_runs] == [(0, 1), (2, 1)] and [tuple(x) for x in out[2].keep_runs] == [(0, 4)]
-    assert out[1].kept_text == "a\nb" and hashlib.sha256(out[1].kept_text.encode()).hexdigest()
+    assert out[0].GONE == 1 and out[0].n_lines == 4 and out[1].kept_text == "a\nb" and hashlib.sha256(out[1].kept_text.encode()).hexdigest()
