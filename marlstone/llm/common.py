@@ -30,6 +30,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key with over 1/HOT_KEYS of all rows takes the broadcast way of join_keys; there are fewer than HOT_KEYS such keys.
+HOT_KEYS = 1000
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, size: str) -> DataFrame:
+    """rows joined to keys, which has one row for each value of `on`; `size` is how many rows have it, or more.
+
+    The hot keys are broadcast, so that their rows stay where they are instead of
+    meeting in one task; the others are joined as usual. Both tables are read twice.
+    """
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_KEYS > total
+    hot = F.broadcast(keys.where(is_hot))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.where(~is_hot), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def crc_rest(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_keys
 
 
 class UnionFind(dict):
@@ -48,11 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = checkpointed(forest(edges)), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.withColumnRenamed("m", "v")).distinct()
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = checkpointed(join_keys(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_keys(large, low, "u", "n")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:

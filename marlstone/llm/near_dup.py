@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, mix, shingles, sliced, text_bytes
+from .common import WordHashes, checkpointed, join_keys, mix, shingles, sliced, text_bytes
 from .components import UnionFind, components
 from .minhash import band_hashes, signatures
 
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     nodes = checkpointed(classes.select(node.alias("node"), "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), "copies", "n", "sig", "bands"))
 
     member = nodes.select("node", "copies", "n", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max_by("node", "copies").alias("hub")).where("k > 1")
-    member = checkpointed(member.join(bucket, "key").select("key", "node", "k", "total", "hub"))
+    bucket = checkpointed(member.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max_by("node", "copies").alias("hub")).where("k > 1"))
+    member = checkpointed(join_keys(member.select("key", "node"), bucket, "key", "k"))
     small = member.where(F.col("k") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("x"))
     small = small.select("x", F.explode("x").alias("a")).select("a", F.explode(F.filter("x", lambda b: b > F.col("a"))).alias("b"))
     large = member.where(F.col("k") > SMALL_BUCKET)
@@ -204,11 +204,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     edges = checkpointed(linked(pairs, sets, percent))
     found = components(edges)
 
-    part = large.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    mixed = part.groupBy("key").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("key")
+    part = checkpointed(large.join(found, "node", "left").select("key", "node", "total", F.coalesce("component", "node").alias("part")))
+    mixed = checkpointed(part.groupBy("key").agg((F.min("part") != F.max("part")).alias("open"), F.count("*").alias("k")).where("open").select("key", "k"))
     parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    blocks = part.join(mixed, "key").select("key", "node", "part", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
+    blocks = join_keys(part, mixed, "key", "k").select("key", "node", "part", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
     blocks = blocks.select("key", "node", "part", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(sets, "node")
     more = checkpointed(links_in_blocks(blocks, percent))
     if more.limit(1).count():

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from marlstone.llm import minhash, near_dup
+from marlstone.llm import common, minhash, near_dup
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,7 +61,19 @@ def chain(seed, n, edits):
     return out
 
 
+@pytest.mark.parametrize("hot", [1, 20])
+def test_keys_are_joined_both_ways(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 0, id % 50) k")
+    keys = rows.groupBy("k").count().where("k != 7").selectExpr("k", "`count` n", "k * 10 as t")
+    got = common.join_keys(rows, keys, "k", "n").select("id", "k", "t").collect()
+    want = [(i, k, k * 10) for i in range(1000) if (k := 0 if i % 3 == 0 else i % 50) != 7]
+    assert sorted(map(tuple, got)) == want
+    assert not common.join_keys(rows, keys.where("k < 0"), "k", "n").count()
+
+
 def test_large_groups_without_a_centre(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
     monkeypatch.setattr(near_dup, "SMALL_BUCKET", 3)
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 2000)
     texts = chain(1, 150, 3) + chain(2, 80, 5) + chain(3, 30, 1) * 3
