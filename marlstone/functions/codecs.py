@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Iterable
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -135,32 +137,75 @@ def rlp_decode(data: bytes, at: int = 0):
     return items, end
 
 
+def abi_fields(kind: str) -> list[str]:
+    """Types of a tuple (T1,T2,...), split at its own commas."""
+    fields, depth = [""], 0
+    for c in kind[1:-1]:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            fields.append("")
+        else:
+            fields[-1] += c
+    return fields if kind != "()" else []
+
+
+def abi_width(kind: str) -> int | None:
+    """Bytes of a value in place; None for values of no fixed size, which stand elsewhere."""
+    if kind in ("bytes", "string") or kind.endswith("[]"):
+        return None
+    if kind.endswith("]"):
+        inner, n = kind[:-1].rsplit("[", 1)
+        parts = [abi_width(inner)] * int(n)
+    elif kind.startswith("("):
+        parts = [abi_width(f) for f in abi_fields(kind)]
+    else:
+        return 32
+    return None if None in parts else sum(parts)
+
+
 def abi_decode(kinds: list[str], data: bytes) -> list:
-    """uintN, intN, bool, address, bytesN, bytes, string and T[] arguments."""
+    """uintN, intN, bool, address, bytesN, bytes, string, T[], T[n] and (T1,T2,...) arguments; arrays and tuples come as lists."""
 
-    def head(kind: str, at: int, base: int):
-        word = data[at : at + 32]
-        if len(word) < 32:
+    def word(at: int) -> bytes:
+        if at + 32 > len(data):
             raise ValueError("cut off")
-        number = int.from_bytes(word, "big")
-        if kind in ("bytes", "string") or kind.endswith("[]"):
-            at = base + number
-            n = int.from_bytes(data[at : at + 32], "big")
-            if kind.endswith("[]"):
-                return [head(kind[:-2], at + 32 + 32 * i, at + 32) for i in range(n)]
-            body = data[at + 32 : at + 32 + n]
-            if len(body) < n:
+        return data[at : at + 32]
+
+    def number(at: int) -> int:
+        return int.from_bytes(word(at), "big")
+
+    def many(kinds: Iterable[str], base: int) -> list:
+        at, out = base, []
+        for kind in kinds:
+            width = abi_width(kind)
+            out.append(one(kind, base + number(at) if width is None else at))
+            at += 32 if width is None else width
+        return out
+
+    def one(kind: str, at: int):
+        if kind.endswith("[]"):
+            if number(at) > len(data):
+                raise ValueError("cut off")
+            return many(repeat(kind[:-2], number(at)), at + 32)
+        if kind.endswith("]"):
+            inner, n = kind[:-1].rsplit("[", 1)
+            return many(repeat(inner, int(n)), at)
+        if kind.startswith("("):
+            return many(abi_fields(kind), at)
+        if kind in ("bytes", "string"):
+            body = data[at + 32 : at + 32 + number(at)]
+            if len(body) < number(at):
                 raise ValueError("cut off")
             return body.decode() if kind == "string" else body
         if kind == "bool":
-            return bool(number)
+            return bool(number(at))
         if kind == "address":
-            return word[12:]
+            return word(at)[12:]
         if kind.startswith("bytes"):
-            return word[: int(kind[5:])]
-        return number - (1 << 256) if kind.startswith("int") and word[0] & 0x80 else number
+            return word(at)[: int(kind[5:])]
+        return int.from_bytes(word(at), "big", signed=kind.startswith("int"))
 
-    return [head(k, 32 * i, 0) for i, k in enumerate(kinds)]
+    return many(kinds, 0)
 
 
 def bits_compress(data: bytes) -> bytes:

@@ -6,6 +6,7 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +68,41 @@ def read_dump(files: DataFrame, magic: bytes, skip: int = 0) -> DataFrame:
     return files.select("content").mapInPandas(run, "kind string, op int, key binary, value binary")
 
 
-def read_entries(files: DataFrame) -> DataFrame:
-    """(path, place, type, data) of archives of entries: a two-byte type, a four-byte little-endian length, two zero bytes, data."""
+#: The first chunk of a Snappy framed stream.
+SNAPPY_START = b"\xff\x06\x00\x00sNaPpY"
+
+
+def unframe(data: bytes) -> bytes:
+    """A Snappy framed stream, decompressed; anything else stays as it is. Checksums of chunks aren't tested."""
+    if not data.startswith(SNAPPY_START):
+        return data
+    out, at = [], 0
+    while at < len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "little")
+        chunk = data[at + 4 : at + 4 + size]
+        if at + 4 + size > len(data) or 2 <= kind < 0x80 or kind < 2 and size < 4:
+            raise ValueError(f"bad chunk at {at}")
+        if kind == 1:
+            out.append(chunk[4:])
+        elif kind == 0:
+            n = shift = 0
+            for b in chunk[4:9]:
+                n |= (b & 0x7F) << shift
+                shift += 7
+                if b < 0x80:
+                    break
+            if n > 1 << 16:
+                raise ValueError(f"bad chunk at {at}")
+            out.append(pa.decompress(chunk[4:], decompressed_size=n, codec="snappy", asbytes=True))
+        at += 4 + size
+    return b"".join(out)
+
+
+def read_entries(files: DataFrame, expand: bool = False) -> DataFrame:
+    """(path, place, type, data) of archives of entries: a two-byte type, a four-byte little-endian length, two zero bytes, data.
+
+    With expand, data that is a Snappy framed stream comes decompressed.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -78,7 +112,8 @@ def read_entries(files: DataFrame) -> DataFrame:
                     size = int.from_bytes(data[at + 2 : at + 6], "little")
                     if data[at + 6 : at + 8] != b"\0\0" or at + 8 + size > len(data):
                         raise ValueError(f"bad entry at {at} of {path}")
-                    rows.append((path, len(rows), data[at : at + 2].hex(), data[at + 8 : at + 8 + size]))
+                    body = data[at + 8 : at + 8 + size]
+                    rows.append((path, len(rows), data[at : at + 2].hex(), unframe(body) if expand else body))
                     at += 8 + size
                 yield pd.DataFrame(rows, columns=["path", "place", "type", "data"])
 

@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,41 @@ def test_dump_round_trip(spark, tmp_path):
         list(dumps.parse_dump(codecs.rlp_encode([b"magic", b"\x01", b"x", b""]), b"magic"))
 
 
+def test_abi_tuples_and_fixed_arrays():
+    word = lambda *xs: b"".join(x.to_bytes(32, "big", signed=x < 0) for x in xs)
+    text = word(3) + b"abc".ljust(32, b"\0")
+    assert codecs.abi_decode(["uint8[2]", "(int8,bool)", "uint8"], word(1, 2, -3, 1, 9)) == [[1, 2], [-3, True], 9]
+    assert codecs.abi_decode(["uint8", "(uint8,string)"], word(1, 64, 2, 64) + text) == [1, [2, "abc"]]
+    assert codecs.abi_decode(["string[2]"], word(32, 64, 128) + text + text) == [["abc", "abc"]]
+    assert codecs.abi_decode(["(uint8,uint8[2])[]"], word(32, 2, 1, 2, 3, 4, 5, 6)) == [[[1, [2, 3]], [4, [5, 6]]]]
+    assert codecs.abi_decode(["uint8[0]", "uint8[][]"], word(32, 1, 32, 1, 7)) == [[], [[7]]]
+    assert codecs.abi_fields("(a,(b,c[2])[],())") == ["a", "(b,c[2])[]", "()"]
+    for kinds, data in ((["uint8[2]"], word(1)), (["string"], word(32, 40) + b"x"), (["uint8[]"], word(32, 1 << 200))):
+        with pytest.raises(ValueError):
+            codecs.abi_decode(kinds, data)
+
+
+def framed(parts, kind):
+    chunk = lambda k, x: bytes([k]) + len(x).to_bytes(3, "little") + x
+    body = lambda x: b"\0\0\0\0" + (x if kind else pa.compress(x, codec="snappy", asbytes=True))
+    return dumps.SNAPPY_START + chunk(0xFE, b"pad") + b"".join(chunk(kind, body(x)) for x in parts)
+
+
+def test_framed_entries(spark, tmp_path):
+    parts = [b"ab" * 30000, b"", b"tail"]
+    for kind in (0, 1):
+        assert dumps.unframe(framed(parts, kind)) == b"".join(parts)
+    assert dumps.unframe(b"plain") == b"plain"
+    for bad in (framed(parts, 0)[:-1], dumps.SNAPPY_START + b"\x05\0\0\0", dumps.SNAPPY_START + b"\0\1\0\0x"):
+        with pytest.raises(ValueError):
+            dumps.unframe(bad)
+    entry = lambda t, x: t + len(x).to_bytes(4, "little") + b"\0\0" + x
+    (tmp_path / "a").write_bytes(entry(b"\x03\0", framed(parts, 0)) + entry(b"\x06\0", b"plain"))
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/a")
+    got = dumps.read_entries(files, expand=True).orderBy("place").collect()
+    assert [bytes(r.data) for r in got] == [b"".join(parts), b"plain"]
+
+
 def test_entries_and_epochs(spark, tmp_path):
     entry = lambda t, x: t + len(x).to_bytes(4, "little") + b"\0\0" + x
     (tmp_path / "a").write_bytes(entry(b"e2", b"") + entry(b"\x03\0", b"data"))
