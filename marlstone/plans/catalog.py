@@ -504,17 +504,21 @@ def signed_log_counts(s, d):
 def log_blooms(s, d):
     from marlstone.operators import bloom
 
-    x = ad.logs(s, d).where("block_number < 40")
-    x = x.select("block_number", F.concat(F.lit("a"), F.col("address").cast("string")).cast("binary").alias("a"), F.concat(F.lit("t"), F.get("topics", F.lit(0))).cast("binary").alias("t"))
+    x = ad.logs(s, d).select("block_number", F.concat(F.lit("a"), F.col("address").cast("string")).cast("binary").alias("a"), F.concat(F.lit("t"), F.get("topics", F.lit(0))).cast("binary").alias("t"))
     return bloom.set_bits(x, ["a", "t"])
 
 
-@query(f"WITH {LOGS} SELECT block_number, tx_hash, pos, address, data FROM logs WHERE block_number < 40 AND address IN (3, 4) AND t0 = 'R'")
-def log_filter_bloom_index(s, d):
+def log_bloom_matches(s, d, last=None):
+    """Logs of address 3 or 4 and topic R, up to block last (all without it), read from blocks that an index of all logs names."""
     from marlstone.operators import bloom
 
     near = bloom.candidates(bloom.index(log_blooms(s, d), 16), [[b"a3", b"a4"], [b"tR"]], 16)
-    return c.log_filter(ad.logs(s, d).join(near, "block_number", "left_semi"), addresses=(3, 4), topics=(("R",),)).select(*LOG_COLUMNS)
+    return c.log_filter(ad.logs(s, d).join(near, "block_number", "left_semi"), last=last, addresses=(3, 4), topics=(("R",),)).select(*LOG_COLUMNS)
+
+
+@query(f"WITH {LOGS} SELECT block_number, tx_hash, pos, address, data FROM logs WHERE block_number < 40 AND address IN (3, 4) AND t0 = 'R'")
+def log_filter_bloom_index(s, d):
+    return log_bloom_matches(s, d, last=39)
 
 
 @query("SELECT user_id, '10.' || user_id % 7 || '.' || user_id % 3 || '.9' AS ip FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 7 BETWEEN 4 AND 5")
