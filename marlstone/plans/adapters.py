@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_trace(events: DataFrame) -> DataFrame:
     op = F.element_at(F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair]), F.col("event_type"))
     prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("user_id") % 6 + 1).cast("int"))
-    key = F.concat(prefix, F.lpad(F.lower(F.hex("user_id")), 4, "0"))
+    digits = F.lower(F.hex("user_id"))
+    key = F.concat(prefix, F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))  # lpad cuts what is longer
     rows = events.select(F.col("event_id").alias("seq"), F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long").alias("block_id"), op.alias("op_type"), key.alias("key"), "ts", "user_id", "value")
     return rows.withColumn("category", category(F.col("key"))).withColumn("segment_id", F.col("block_id"))
 
