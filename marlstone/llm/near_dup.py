@@ -33,8 +33,6 @@ SMALL_BUCKET, BLOCK_SHINGLES = 16, 1 << 20
 #: Up to so many classes in candidate pairs, their ids are broadcast.
 BROADCAST_IDS = 1_000_000
 ELEMENTS = 40_000
-#: Where doc_id is null, classes have numbers from here on.
-NO_ID = 1 << 62
 
 
 def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -187,8 +185,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     """
     rows = checkpointed(signed(docs, width))
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands"))
-    node = F.coalesce("first.doc_id", F.shiftrightunsigned("s1", 2) + F.lit(NO_ID))
-    nodes = checkpointed(classes.select(node.alias("node"), "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), "copies", "n", "sig", "bands"))
+    # The checkpoint fixes the numbers. A doc_id wouldn't do: classes of different texts may share one, or have none.
+    nodes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), "copies", "n", "sig", "bands"))
 
     member = nodes.select("node", "copies", "n", F.explode("bands").alias("key"))
     bucket = checkpointed(member.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max_by("node", "copies").alias("hub")).where("k > 1"))
@@ -214,7 +212,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    final = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    ids = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct().join(nodes.select("node", "doc_id"), "node")
+    low = checkpointed(ids.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")))
+    lowest = join_keys(ids.select("node", "component"), low, "component", "k").select("node", "low")
+    final = nodes.select("s1", "s2", "node", "doc_id").join(lowest, "node", "left").select("s1", "s2", F.coalesce("low", "doc_id").alias("low"))
     out = rows.select("doc_id", "th", "n_shingles", "s1", "s2").join(final, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component") < NO_ID, F.col("component"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("low"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
