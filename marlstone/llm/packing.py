@@ -7,11 +7,14 @@ sequence of lowest cost that has room; if none has room for a whole piece, it is
 at the room of the sequence of lowest cost. A window opens as many sequences as its
 tokens fill, so all are full; tokens that are left move to the next window, and at
 the end of a task fill sequences of power-of-two lengths, which need no padding.
-Nothing is shuffled; memory is one window and one document.
+Nothing is shuffled; memory is one window and one document. Whole sequences cut off
+long documents are full by themselves, so they take no part in the balancing.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -27,11 +30,19 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
+#: ASCII, and letters that are their own NFC form and turn to lower case one by one (U+0130 gives two characters).
+PLAIN_RUN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+
+
 class ChunkIds(dict):
     """Ids (little-endian uint32 bytes) of a run of UTF-8 between ASCII white space.
 
     The tokenizers used drop white space and never join across it, so the ids of a
-    text are those of its runs. The first `limit` runs are remembered.
+    text are those of its runs. The first `limit` runs are remembered. If the
+    tokenizer is NFC, lower case, a split by a pattern and byte-level BPE, runs of
+    ASCII and Latin letters are split by that pattern and given to its model piece
+    by piece, which is four times as fast as its whole chain; the rest, and runs with
+    a special token's string, go through the chain.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -39,9 +50,47 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.pieces: dict[str, bytes] = {}
+        self.pattern, self.model, self.mapped = self.split_rule(), self.tokenizer.model, {}
+        self.special = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or "(?!)")
+
+    def split_rule(self):
+        """The compiled pattern, if the tokenizer has the form that the short way stands for."""
+        import regex
+
+        form = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])]
+        first, *rest = (form["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        bytewise = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        kept = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
+        if steps != ["NFC", "Replace", "Lowercase"] or not bytewise or not kept or form["post_processor"]:
+            return None
+        return regex.compile(first["pattern"]["Regex"])
+
+    def piece(self, word: str) -> bytes:
+        """Ids of a piece that the pattern found."""
+        found = self.pieces.get(word)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.byte_chars, word)))]).tobytes()
+            if len(word) <= 64 and len(self.pieces) < self.limit:
+                self.pieces[word] = found
+        return found
+
+    def byte_chars(self, char: str) -> str:
+        """The characters that stand for the bytes of one."""
+        if char not in self.mapped:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            self.mapped[char] = "".join(p for p, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(char))
+        return self.mapped[char]
 
     def __missing__(self, run: bytes) -> bytes:
-        ids = array("I", self.tokenizer.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+        text = run.decode()
+        if self.pattern and PLAIN_RUN.fullmatch(text) and not self.special.search(text):
+            text = text.lower()
+            ids = self.piece(text) if text.isalpha() else b"".join(map(self.piece, self.pattern.findall(text)))
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(run) <= 64 and len(self) < self.limit:
             self[run] = ids
         return ids

@@ -48,5 +48,21 @@ def test_longest_first_to_the_lowest_cost():
 
 def test_special_strings_and_spaces():
     tok = Tokenizer.from_file(PATH)
-    for text in ("a\u00a0b\u2003c", "x<|endoftext|>y z", "e\u0301 \u0301 A\u030a", "ΣΑΣ ΣΑΣ'S don't", "\u1680\u180e\ufeff q", "\x1c\x85a"):
+    for text in ("a\u00a0b\u2003c", "x<|endoftext|>y z", "e\u0301 \u0301 A\u030a", "ΣΑΣ ΣΑΣ'S don't", "\u1680\u180e\ufeff q", "\x1c\x85a", "STRASSE İstanbul ıÍ ŉx ſ DON'T'RE you'll'd 'SX", "Ça,&&&42été+Ñ÷× ªº²", "a<|endoftext|>b C<|EndOfText|>d <|"):
         assert np.frombuffer(packing.ChunkIds(PATH).of(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_the_short_way_gives_the_ids_of_the_whole_chain():
+    tok, chunks, r = Tokenizer.from_file(PATH), packing.ChunkIds(PATH), np.random.default_rng(5)
+    assert chunks.pattern is not None
+    chars = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180), 0x301, 0x3C3, 0x4E2D, 0x1F600]] + ["'s", "'ll", "the", "ING"]
+    for n in range(4000):
+        run = "".join(chars[i] for i in r.integers(len(chars), size=1 + n % 12))
+        assert np.frombuffer(chunks.of(run.encode()), "<u4").tolist() == tok.encode(run, add_special_tokens=False).ids, run
+
+
+def test_another_tokenizer_goes_through_its_whole_chain():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    chunks = packing.ChunkIds(path)
+    assert chunks.pattern is None
+    assert np.frombuffer(chunks.of(b"Hello"), "<u4").tolist() == Tokenizer.from_file(path).encode("Hello", add_special_tokens=False).ids
