@@ -224,21 +224,119 @@ def bits_compress(data: bytes) -> bytes:
 
 
 def bits_decompress(data: bytes, size: int) -> bytes:
+    """The `size` bytes that bits_compress was given. Data that ends early, has bytes left over, marks places beyond the end or holds a marked zero is an error."""
     if len(data) == size:
         return data
+    if len(data) > size:
+        raise ValueError("longer than what it stands for")
 
     def unpack(at: int, n: int) -> tuple[bytes, int]:
-        if n == 0 or at >= len(data) and at == 0:
+        if n == 0 or not data:
             return bytes(n), at
         if n == 1:
+            if at >= len(data):
+                raise ValueError("cut off")
             return data[at : at + 1], at + 1
         marks, at = unpack(at, -(-n // 8))
-        where = np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8))[:n])
-        out = np.zeros(n, np.uint8)
+        bits = np.unpackbits(np.frombuffer(marks, np.uint8))
+        if bits[n:].any():
+            raise ValueError("a place beyond the end")
+        where, out = np.flatnonzero(bits[:n]), np.zeros(n, np.uint8)
+        if at + len(where) > len(data):
+            raise ValueError("cut off")
         out[where] = np.frombuffer(data[at : at + len(where)], np.uint8)
+        if (out[where] == 0).any():
+            raise ValueError("a marked byte is zero")
         return out.tobytes(), at + len(where)
 
-    return unpack(0, size)[0]
+    out, end = unpack(0, size)
+    if end != len(data):
+        raise ValueError("bytes left over")
+    return out
+
+
+def left_pad(data: Column, n: int) -> Column:
+    """Binary with zero bytes before it up to n; what is longer stays."""
+    return F.when(F.octet_length(data) >= n, data).otherwise(F.lpad(data, n, F.lit(b"\0")))
+
+
+def right_pad(data: Column, n: int) -> Column:
+    return F.when(F.octet_length(data) >= n, data).otherwise(F.rpad(data, n, F.lit(b"\0")))
+
+
+def from_hex(text: Column) -> Column:
+    """Binary of hex digits, with or without 0x; an odd number of them gets a zero in front; null if it isn't hex."""
+    digits = F.regexp_replace(text, "^0[xX]", "")
+    return F.try_to_binary(F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits), F.lit("hex"))
+
+
+def to_hex(data: Column) -> Column:
+    return F.concat(F.lit("0x"), F.lower(F.hex(data)))
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def rlp_items(values: pd.Series) -> pd.Series:
+    """The items of an encoded list; those that are lists themselves stay encoded. What isn't one whole list gives null."""
+
+    def items(value) -> list[bytes] | None:
+        try:
+            found, end = rlp_decode(bytes(value))
+        except ValueError:
+            return None
+        return [x if isinstance(x, bytes) else rlp_encode(x) for x in found] if isinstance(found, list) and end == len(value) else None
+
+    return values.map(items, na_action="ignore")
+
+
+@F.pandas_udf(T.BinaryType())
+def rlp_list(values: pd.Series) -> pd.Series:
+    """An array of binaries as an encoded list."""
+    return values.map(lambda xs: rlp_encode([bytes(x) for x in xs]), na_action="ignore")
+
+
+def abi_values(kinds: list[str]):
+    """A column function: arguments of the types `kinds` as an array of strings (numbers in decimal, bytes in hex, others as JSON); null if they don't decode."""
+    import json
+
+    def said(x) -> str:
+        if isinstance(x, bytes):
+            return "0x" + x.hex()
+        return x if isinstance(x, str) else json.dumps(x, default=said) if isinstance(x, list) else str(x).lower() if isinstance(x, bool) else str(x)
+
+    def decoded(value) -> list[str] | None:
+        try:
+            return [said(x) for x in abi_decode(kinds, bytes(value))]
+        except (ValueError, UnicodeDecodeError):
+            return None
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(decoded, na_action="ignore")
+
+    return run
+
+
+def signature_hash(signature: str) -> bytes:
+    """The topic of an event, name(type,...)."""
+    return keccak256([signature.replace(" ", "").encode()])[0]
+
+
+def selector(signature: str) -> bytes:
+    """The first four bytes of a call of a method, name(type,...)."""
+    return signature_hash(signature)[:4]
+
+
+def topic_of(kind: str, value) -> bytes:
+    """An indexed argument as a topic of 32 bytes: numbers and bools padded on the left, bytesN on the right, string and bytes by hash."""
+    if kind in ("string", "bytes"):
+        return keccak256([value.encode() if isinstance(value, str) else value])[0]
+    if kind == "bool" or kind.startswith(("uint", "int")):
+        return (int(value) % (1 << 256)).to_bytes(32, "big")
+    if kind == "address":
+        return value.rjust(32, b"\0")
+    if kind.startswith("bytes"):
+        return value.ljust(32, b"\0")
+    raise ValueError(f"no topic for {kind}")
 
 
 def ipv4_number(ip: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.categories import bucket
+from marlstone.functions.checkpoints import checkpointed
 
 DISTANCES = (0, 1, 4, 16, 64, 256, 1024)
 
@@ -27,23 +26,23 @@ def key_counts(trace: DataFrame, *by: str) -> DataFrame:
 
 
 def ranked(counts: DataFrame, group: list[str], least_keys: int = 1) -> DataFrame:
-    """id by count, largest first, then key; only groups of least_keys keys or more."""
+    """id by count, largest first, then key; only groups of least_keys keys or more. Numbers a group in one task; see ranked_wide."""
     whole = Window.partitionBy(*group)
     out = counts.withColumn("id", F.row_number().over(whole.orderBy(F.desc("n"), "key")).cast("long"))
     return out if least_keys <= 1 else out.withColumn("_k", F.count("*").over(whole)).where(F.col("_k") >= least_keys).drop("_k")
 
 
-def ranked_wide(counts: DataFrame, group: list[str]) -> DataFrame:
-    """As ranked, for groups too large for one task: ranges of the sorted whole are numbered by themselves, then moved on by what lies before them."""
+def ranked_wide(counts: DataFrame, group: list[str], least_keys: int = 1) -> DataFrame:
+    """As ranked, for groups of any size: ranges of the sorted whole are numbered by themselves, then moved on by what lies before them."""
     order = [F.desc("n"), F.asc("key")]
-    spark = counts.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-    ranged = counts.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = checkpointed(counts.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
     inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)))
     sizes = ranged.groupBy("_range", *group).agg(F.count("*").alias("_k"))  # a row for each range and group in it
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    moved = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    moved = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    if least_keys > 1:
+        moved = moved.withColumn("_all", F.sum("_k").over(Window.partitionBy(*group))).where(F.col("_all") >= least_keys).drop("_all")
+    moved = moved.drop("_k")
     return inside.join(moved, ["_range", *group]).withColumn("id", F.col("_i") + F.col("_before")).drop("_range", "_i", "_before")
 
 
@@ -88,8 +87,14 @@ def neighbours(rows: DataFrame, distances=DISTANCES) -> DataFrame:
     return pairs.withColumns({"k1": F.least("key", "other"), "k2": F.greatest("key", "other")}).drop("key", "other")
 
 
+def pair_totals(pairs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """freq of each pair by `by` and the number of its distinct blocks, without listing them: for pairs of any number of blocks."""
+    per = pairs.groupBy(*by, "k1", "k2", "block_id").agg(F.count("*").alias("n"))
+    return per.groupBy(*by, "k1", "k2").agg(F.sum("n").alias("freq"), F.count("*").alias("n_blocks")).where(F.col("freq") >= least)
+
+
 def pair_counts(pairs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
-    """freq of each pair by `by`, and its distinct blocks in order; pairs rarer than `least` go."""
+    """freq of each pair by `by`, and its distinct blocks in order; pairs rarer than `least` go. A pair's blocks are one value; see pair_totals."""
     out = pairs.groupBy(*by, "k1", "k2").agg(F.count("*").alias("freq"), F.array_sort(F.collect_set("block_id")).alias("blocks"))
     return out.where(F.col("freq") >= least)
 

@@ -42,15 +42,6 @@ def weighted_percentiles(txs: DataFrame, percents: tuple[int, ...]) -> DataFrame
     return each.groupBy("block_number", "p").agg(F.coalesce(reached, F.max("reward")).alias("reward"))
 
 
-def suggested_tip(txs: DataFrame, blocks: int, per_block: int, percentile: int, least: int, most: int) -> DataFrame:
-    """One row `tip`: of the per_block lowest rewards (from least on) of each of the last blocks, the one at (n - 1) * percentile / 100."""
-    head = txs.agg(F.max("block_number")).first()[0]
-    low = txs.where((F.col("block_number") > (head or 0) - blocks) & (F.col("reward") >= least))
-    low = low.withColumn("r", F.row_number().over(Window.partitionBy("block_number").orderBy("reward", "tx_hash"))).where(F.col("r") <= per_block)
-    values = F.sort_array(F.collect_list("reward"))  # at most blocks * per_block of them
-    return low.agg(values.alias("v")).select(F.least(F.get("v", F.floor((F.size("v") - 1) * percentile / 100).cast("int")), F.lit(most).cast("long")).alias("tip"))
-
-
 def newest(layers: DataFrame, keys: list[str], order: str, gone: Column | None = None) -> DataFrame:
     """The row of the newest layer for each key; keys whose newest row is a tombstone have none."""
     rest = [c for c in layers.columns if c not in keys]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import catalog
+from marlstone.plans import catalog, ledger  # noqa: F401, each adds its queries
 
 
 def queries() -> dict:
