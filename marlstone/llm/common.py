@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,39 +19,68 @@ SPACES = b" \t\n\x0b\x0c\r"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Seconds between two requests to collect garbage, and the time of the last one.
+RELEASE, released = 4.0, 0.0
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder named in spark.checkpoint.dir.
 
-    The folder is read from the session; where none is set (tests, a notebook) a
-    local one is made. Spark removes the files once the result is unreachable,
-    if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    The folder must be one that all executors share. Where none is set, a local
+    master (tests, a notebook) gets a folder of its own; on a cluster that is an error.
+    Spark removes files of shuffles, and of checkpoints if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on, once the driver's JVM has
+    collected what they belong to. A driver that makes little garbage rarely does, so
+    it is asked to, at most every RELEASE seconds.
     """
+    global released
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[0-9*]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if time.monotonic() - released > RELEASE:
+        spark.sparkContext._jvm.System.gc()
+        released = time.monotonic()
+    return out
 
 
 #: A key with over 1/HOT_KEYS of all rows takes the broadcast way of join_keys; there are fewer than HOT_KEYS such keys.
 HOT_KEYS = 1000
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, on: str, size: str) -> DataFrame:
+def join_keys(rows: DataFrame, keys: DataFrame, on: str | list[str], size: str) -> DataFrame:
     """rows joined to keys, which has one row for each value of `on`; `size` is how many rows have it, or more.
 
     The hot keys are broadcast, so that their rows stay where they are instead of
     meeting in one task; the others are joined as usual. Both tables are read twice.
     """
+    on = [on] if isinstance(on, str) else on
     total = keys.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) * HOT_KEYS > total
     hot = F.broadcast(keys.where(is_hot))
-    rest = rows.join(hot.select(on), on, "left_anti").join(keys.where(~is_hot), on)
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keys.where(~is_hot), on)
     return rows.join(hot, on).unionByName(rest)
 
 
-def crc_rest(column: str, n: int) -> Column:
-    """crc32 of the value as text, modulo n; null stays null."""
-    return F.crc32(F.col(column).cast("string")) % n
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    bar = "_"
+    while any(bar + n.lower() in have for n in names):
+        bar += "_"
+    return [bar + n for n in names]
+
+
+def set_aside(df: DataFrame, *names: str):
+    """df with columns of these names renamed, and a function that undoes it and selects df's columns."""
+    clash = [c for c in df.columns if c.lower() in names]
+    away = dict(zip(clash, unused(df, *clash), strict=True))
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns])
+
+    return df.withColumnsRenamed(away), back
 
 
 def let(value: Column, body) -> Column:

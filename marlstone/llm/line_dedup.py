@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let
+from .common import checkpointed, let, unused
 
 SPACE = " \t\n\u000b\u000c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,16 +97,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     Columns of docs with one of these names are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text")
-    gone = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"doc_id": "__id", "th": "__th", "gone": "__gone", "n_dropped": "__dropped"})
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
-    n_lines = F.size(lines_of(F.col("text")))
-    keep = F.when(F.col("__gone").isNotNull(), runs(F.col("__gone"), n_lines)).otherwise(F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("len"))))
+    id_, th_, gone_, dropped_ = unused(docs, "id", "th", "gone", "dropped")
+    gone = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"doc_id": id_, "th": th_, "gone": gone_, "n_dropped": dropped_})
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th_)), "left")
+    n_lines, lost = F.size(lines_of(F.col("text"))), F.col(gone_).isNotNull()
+    keep = F.when(lost, runs(F.col(gone_), n_lines)).otherwise(F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("len"))))
     return joined.select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.col("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.col(dropped_), F.lit(0)).cast("long").alias("n_dropped"),
         keep.alias("keep_runs"),
-        F.when(F.col("__gone").isNotNull(), apply_runs(F.col("text"), runs(F.col("__gone"), n_lines))).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("kept_text"),
+        F.when(lost, apply_runs(F.col("text"), runs(F.col(gone_), n_lines))).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("kept_text"),
     )
 
 

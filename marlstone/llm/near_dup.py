@@ -6,9 +6,12 @@
    in a larger one each class is paired with the class of most copies. Signatures
    that are too unlike drop a pair; the others are checked on full sets.
 3. Large buckets that still hold several components are taken up again in blocks:
-   every pair of classes of different components is compared on full sets, as
-   bits, in one pass that joins components as it finds links and returns those
-   links alone. So no group is ever expanded into its pairs, and none is cut off.
+   each class outside the largest component is compared with all of other
+   components, on full sets through an inverted list, in one pass that joins
+   components as it finds links and returns those links alone. A set of the largest
+   component is copied once for each block of the rest, so the work grows with the
+   part of a bucket that isn't joined yet. No group is ever expanded into its
+   pairs, and none is cut off.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from .minhash import band_hashes, signatures
 SLOTS, BANDS = 128, 32
 #: A pair of similarity 0.75 is estimated lower than this with a probability of 1e-6.
 ESTIMATE = 0.57
-#: Buckets of up to so many classes give all pairs; blocks of larger ones hold about so many shingles.
-SMALL_BUCKET, BLOCK_SHINGLES = 16, 1 << 20
+#: Buckets of up to so many classes give all pairs.
+SMALL_BUCKET = 16
+#: A larger bucket is cut into BLOCKS blocks, but a block holds about so many shingles at least, and BLOCKS times as many at most.
+BLOCKS, BLOCK_SHINGLES = 16, 1 << 16
 #: Up to so many classes in candidate pairs, their ids are broadcast.
 BROADCAST_IDS = 1_000_000
 ELEMENTS = 40_000
@@ -124,53 +129,76 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "u long, v long")
 
 
-def links_between(nodes: list[int], sets: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that join the parts, of all pairs of nodes in different parts: each node outside the largest part against all."""
-    words, counts = np.unique(np.concatenate(sets), return_counts=True)
-    shared = words[counts > 1]
-    if not len(shared):
-        return []
-    bits = np.zeros((len(sets), -(-len(shared) // 64)), np.uint64)
-    for row, s in zip(bits, sets, strict=True):
-        at = np.searchsorted(shared, s)
-        at[at == len(shared)] = 0
-        at = at[shared[at] == s].astype(np.uint64)
-        np.bitwise_or.at(row, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-    size = np.array([len(s) for s in sets])
-    part = np.array(parts)
-    names, inverse, n = np.unique(part, return_inverse=True, return_counts=True)
+def links_between(nodes: list[int], sets: list[np.ndarray], parts: list[int], asks: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links that join the parts, of all pairs of an asking node with one of another part; memory is that of the sets."""
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    by_word = np.argsort(word, kind="stable")
+    posting, ends = owner[by_word], np.cumsum(np.bincount(word))
+    begins = ends - np.bincount(word)
+    first, part = np.cumsum(size) - size, np.array(parts)
     joined, found = UnionFind(), []
-    for i in np.flatnonzero(inverse != n.argmax()).tolist():
-        both = np.bitwise_count(bits & bits[i]).sum(1, dtype=np.int64)
-        for k in np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (part != part[i])).tolist():
+    for i in np.flatnonzero(asks).tolist():
+        words = word[first[i] : first[i] + size[i]]
+        n = ends[words] - begins[words]
+        # where each posting of these words lies: one run of places after another
+        at = np.repeat(begins[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if len(at) < len(sets):
+            other, both = np.unique(posting[at], return_counts=True)
+        else:
+            both = np.bincount(posting[at], minlength=len(sets))
+            other = np.flatnonzero(both)
+            both = both[other]
+        near = (100 * both >= percent * (size[i] + size[other] - both)) & (part[other] != part[i])
+        for k in other[near].tolist():
             if joined.union(parts[i], parts[k]):
                 found.append((nodes[i], nodes[k]))
     return found
 
 
 def links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that join components inside each block; blocks: key, lo, hi, node, part, shingles."""
+    """Links (u, v) that join components inside each block; blocks: key, all, ask, asks, node, part, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len({g[1] for g in group}) > 1:
-                found = links_between([g[0] for g in group], [g[2] for g in group], [g[1] for g in group], percent)
+            if len({g[2] for g in group}) > 1:
+                found = links_between([g[1] for g in group], [g[3] for g in group], [g[2] for g in group], [g[0] for g in group], percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
             group.clear()
 
         for b in sliced(batches):
-            for *here, node, part, shingle in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *here, asks, node, part, shingle in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if here != at:
                     yield from close()
                     at = here
-                group.append((node, part, np.frombuffer(shingle, "<u8")))
+                group.append((asks, node, part, np.frombuffer(shingle, "<u8")))
         yield from close()
 
-    ordered = blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return ordered.select("key", "lo", "hi", "node", "part", "shingles").mapInArrow(run, "u long, v long")
+    ordered = blocks.repartition("key", "all", "ask").sortWithinPartitions("key", "all", "ask")
+    return ordered.select("key", "all", "ask", "asks", "node", "part", "shingles").mapInArrow(run, "u long, v long")
+
+
+def open_blocks(part: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, dealt to blocks: (key, all, ask, asks, node, part).
+
+    part: key, node, n, part. A bucket's classes are cut into `alls` blocks, those
+    outside its largest component, the asking ones, also into `n_asks` blocks of that
+    size; each block of the one kind meets each of the other.
+    """
+    per = checkpointed(part.groupBy("key", "part").agg(F.count("*").alias("k"), F.sum("n").alias("n")))
+    bucket = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("open"))
+    size = F.least(F.greatest(F.col("total") / BLOCKS, F.lit(BLOCK_SHINGLES)), F.lit(BLOCKS * BLOCK_SHINGLES))
+    blocks_of = lambda c: F.ceil(F.col(c) / size).cast("int")
+    bucket = checkpointed(bucket.where("parts > 1").select("key", "main", "k", blocks_of("total").alias("alls"), blocks_of("open").alias("n_asks")))
+    rows = join_keys(part.select("key", "node", "part"), bucket, "key", "k").withColumn("h", F.xxhash64("node"))
+    mine = F.pmod("h", "alls").cast("int")
+    told = rows.select("key", mine.alias("all"), F.explode(F.sequence(F.lit(0), F.col("n_asks") - 1)).alias("ask"), F.lit(False).alias("asks"), "node", "part")
+    asking = rows.where("part != main").select("key", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("all"), F.pmod(F.xxhash64("h"), "n_asks").cast("int").alias("ask"), F.lit(True).alias("asks"), "node", "part")
+    return told.unionByName(asking)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -189,8 +217,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     nodes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), "copies", "n", "sig", "bands"))
 
     member = nodes.select("node", "copies", "n", F.explode("bands").alias("key"))
-    bucket = checkpointed(member.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max_by("node", "copies").alias("hub")).where("k > 1"))
-    member = checkpointed(join_keys(member.select("key", "node"), bucket, "key", "k"))
+    bucket = checkpointed(member.groupBy("key").agg(F.count("*").alias("k"), F.max_by("node", "copies").alias("hub")).where("k > 1"))
+    member = checkpointed(join_keys(member.select("key", "node", "n"), bucket, "key", "k"))
     small = member.where(F.col("k") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("x"))
     small = small.select("x", F.explode("x").alias("a")).select("a", F.explode(F.filter("x", lambda b: b > F.col("a"))).alias("b"))
     large = member.where(F.col("k") > SMALL_BUCKET)
@@ -202,12 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     edges = checkpointed(linked(pairs, sets, percent))
     found = components(edges)
 
-    part = checkpointed(large.join(found, "node", "left").select("key", "node", "total", F.coalesce("component", "node").alias("part")))
-    mixed = checkpointed(part.groupBy("key").agg((F.min("part") != F.max("part")).alias("open"), F.count("*").alias("k")).where("open").select("key", "k"))
-    parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    blocks = join_keys(part, mixed, "key", "k").select("key", "node", "part", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-    blocks = blocks.select("key", "node", "part", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(sets, "node")
+    part = checkpointed(large.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
+    blocks = open_blocks(part).join(sets, "node")
     more = checkpointed(links_in_blocks(blocks, percent))
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
@@ -215,7 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     ids = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct().join(nodes.select("node", "doc_id"), "node")
     low = checkpointed(ids.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")))
     lowest = join_keys(ids.select("node", "component"), low, "component", "k").select("node", "low")
-    final = nodes.select("s1", "s2", "node", "doc_id").join(lowest, "node", "left").select("s1", "s2", F.coalesce("low", "doc_id").alias("low"))
-    out = rows.select("doc_id", "th", "n_shingles", "s1", "s2").join(final, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("low"))
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    final = checkpointed(nodes.select("s1", "s2", "node", "doc_id", "copies").join(lowest, "node", "left").select("s1", "s2", "copies", F.coalesce("low", "doc_id").alias("component_id")))
+    plain = rows.select("doc_id", "th", "n_shingles", "s1", "s2")
+    out = join_keys(plain.where("n_shingles > 0"), final, ["s1", "s2"], "copies").select("doc_id", "th", "n_shingles", "component_id")
+    out = out.unionByName(plain.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
