@@ -1,28 +1,37 @@
 """Nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample and every row is filed under a leaf. A query
-walks the tree with a priority queue of nodes by distance to their centre and
-visits leaves in that order. How many it visits is found by widening until the true
-neighbours of a few calibration queries, found by brute force over all rows, are
-reached. Of rows with the same vector only the k + 1 smallest ids can be among any
-query's k nearest, so the rest needn't be filed; other large leaves are cut into chunks.
+The top of the tree is fitted on a bounded sample and every row is filed under a
+leaf. Leaves with many rows get subtrees, fitted in executors on bounded samples of
+their own rows, so that the number of leaves follows that of rows: the work of a
+query stays the same up to LEAF_ROWS * MOST_BYTES / 8d rows (4 million of 128 dimensions);
+from there on leaves grow, for the tree is broadcast and so must be bounded.
+
+A query walks the tree with a priority queue of nodes by distance to their centre
+and visits leaves in that order. How many it visits is found by widening, a leaf at
+a time, until the true neighbours of a few calibration queries, found by brute force
+over all rows, are reached. Of rows with the same vector only the k + 1 smallest ids
+can be among any query's k nearest, so the rest needn't be filed; other large
+leaves are cut into chunks.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 #: Rows that the tree is fitted on, children of a node, and rows of the sample in a leaf.
 SAMPLE, BRANCHES, LEAF = 20_000, 16, 96
+#: Rows of the table for each leaf, bytes of all centres, leaves of a subtree, rows of a subtree's sample for each leaf, and rounds of growth, at most.
+LEAF_ROWS, MOST_BYTES, SUBTREE, SUBSAMPLE, ROUNDS = 512, 1 << 23, 2048, 24, 4
 #: Calibration queries, and the recall that they must reach.
 CALIBRATION, RECALL = 128, 0.98
 #: Rows of a leaf that are compared in one piece.
@@ -36,13 +45,25 @@ class Tree:
     def __init__(self, centres: np.ndarray, children: list[list[int]]):
         self.centres, self.children = centres, children
 
+    @property
+    def leaves(self) -> int:
+        return sum(not c for c in self.children)
+
+    def graft(self, leaf: int, centres: np.ndarray, children: list[list[int]]) -> None:
+        """Put a subtree, its own root at 0, in place of a leaf."""
+        base = len(self.centres) - 1  # the root of the subtree is the leaf itself
+        self.children[leaf] = [c + base for c in children[0]]
+        self.children += [[c + base for c in below] for below in children[1:]]
+        self.centres = np.concatenate([self.centres, centres[1:]])
+
     @classmethod
-    def fit(cls, x: np.ndarray, seed: int = 7) -> Tree:
+    def fit(cls, x: np.ndarray, seed: int = 7, leaf: int | None = None) -> Tree:
+        leaf = leaf or LEAF
         random = np.random.default_rng(seed)
         centres, children, todo = [x.mean(0)], [[]], [(0, x)]
         while todo:
             node, rows = todo.pop()
-            k = min(BRANCHES, len(rows) // LEAF)
+            k = min(BRANCHES, len(rows) // leaf)
             if k < 2:
                 continue
             c, own = kmeans(rows, k, random)
@@ -101,19 +122,22 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def closest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (row of q, its own id): (i, ids, distances) of its k nearest, exact, ties to the smaller id."""
-    norms = (x**2).sum(1)
+    """For each query (row of q, its own id): (i, ids, distances) of its k nearest, exact, ties to the smaller id; an id that repeats counts once, at its nearest."""
+    norms, repeats = (x**2).sum(1), len(np.unique(ids)) < len(ids)
     rough = (q**2).sum(1)[:, None] + norms - 2 * q @ x.T
     for i in range(len(q)):
         r = np.where(ids == own[i], np.inf, rough[i])
-        if len(r) > k:
+        if len(r) > k and not repeats:
             limit = np.partition(r, k - 1)[k - 1]
             at = np.flatnonzero(r <= limit + 1e-9 * (1 + abs(limit) + norms.max()))
         else:
             at = np.arange(len(r))
         at = at[ids[at] != own[i]]
         dist = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-        best = np.lexsort((ids[at], dist))[:k]
+        best = np.lexsort((ids[at], dist))
+        if repeats:
+            best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])]
+        best = best[:k]
         yield i, ids[at][best], dist[best]
 
 
@@ -147,16 +171,68 @@ def brute_force(rows: DataFrame, d: int, ids: np.ndarray, q: np.ndarray, k: int)
 
 
 def calibrate(rows: DataFrame, d: int, tree: Tree, k: int, sample: list) -> int:
-    """Leaves to visit so that RECALL of the true neighbours of the sample are reached."""
+    """Leaves to visit: one more at a time, until RECALL of the true neighbours of the sample are reached."""
     ids, q = np.array([r[0] for r in sample]), np.array([r[1] for r in sample])
     top = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     truth = brute_force(rows, d, ids, q, k).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "v").collect()
-    if not truth:
-        return 1
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.visit(x), 1)} for i, x in zip(ids, q, strict=True)}
-    leaves = tree.file(np.array([r.v for r in truth]))
-    need = np.sort([order[r.query_id][leaf] for r, leaf in zip(truth, leaves.tolist(), strict=True)])
-    return int(need[min(len(need) - 1, int(np.ceil(RECALL * len(need))) - 1)])
+    wanted: dict[int, Counter] = {int(i): Counter() for i in ids}
+    for r, leaf in zip(truth, tree.file(np.array([r.v for r in truth])).tolist() if truth else [], strict=True):
+        wanted[r.query_id][leaf] += 1
+    walks = [(tree.visit(x), wanted[int(i)]) for i, x in zip(ids, q, strict=True)]
+    reached, visits = 0, 0
+    while reached < RECALL * len(truth):
+        visits += 1
+        reached += sum(left[leaf] for walk, left in walks if (leaf := next(walk, None)) is not None)
+    return max(1, visits)
+
+
+def filer(tree: Tree, d: int, spark):
+    """A pass (vec_id, v) -> (leaf, id, v)."""
+    shared = spark.sparkContext.broadcast((tree.centres, tree.children))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(*shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tree.file(matrix(b.column(1), d))), b.column(0), b.column(1)], ["leaf", "id", "v"])
+
+    return run
+
+
+FILED = "leaf long, id long, v array<double>"
+
+
+def drawn(share: Column) -> Column:
+    """Whether a row of `id` is in a sample of about this share of all rows."""
+    return F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1_000_003)) < share * 1_000_003
+
+
+def grow(tree: Tree, rows: DataFrame, d: int, total: int) -> tuple[Tree, DataFrame]:
+    """The tree with about a leaf for every LEAF_ROWS rows, and rows as FILED in it."""
+    spark, most = rows.sparkSession, MOST_BYTES // (8 * d)
+
+    def split(key, table):
+        part = Tree.fit(matrix(table.column("v").combine_chunks(), d), int(key[0].as_py()), SUBSAMPLE)
+        below = [part.children] if part.children[0] else []
+        made = {"leaf": [key[0].as_py()] * len(below), "centres": [part.centres.tobytes()] * len(below), "children": below}
+        return pa.table({k: pa.array(made[k], t) for k, t in (("leaf", pa.int64()), ("centres", pa.binary()), ("children", pa.list_(pa.list_(pa.int64()))))})
+
+    for _ in range(ROUNDS):
+        filed = checkpointed(rows.mapInArrow(filer(tree, d, spark), FILED))
+        wanted = min(most, total // LEAF_ROWS)
+        sizes = filed.groupBy("leaf").agg(F.count("*").alias("n"))
+        share = F.least(F.ceil(F.col("n") * (wanted / max(1, total))), F.lit(SUBTREE))
+        large = sizes.where(F.col("n") >= 4 * LEAF_ROWS).select("leaf", (share * SUBSAMPLE / F.col("n")).alias("share"))
+        if tree.leaves >= wanted or not large.limit(1).count():
+            break
+        # a row for each leaf: as many as the tree has, which MOST_BYTES bounds; as are the subtrees collected
+        subtrees = filed.join(F.broadcast(large), "leaf").where(drawn(F.col("share"))).select("leaf", "v").groupBy("leaf").applyInArrow(split, "leaf long, centres binary, children array<array<long>>").collect()
+        for r in sorted(subtrees, key=lambda r: r.leaf):
+            tree.graft(r.leaf, np.frombuffer(r.centres).reshape(-1, d), [list(c) for c in r.children])
+        if not subtrees:
+            break
+    else:
+        filed = checkpointed(rows.mapInArrow(filer(tree, d, spark), FILED))
+    return tree, filed
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -165,8 +241,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Both: vec_id, embedding; other columns are ignored. A row of the query's own
     vec_id is no candidate. Vectors that are null, zero, of a rarer dimension or hold
     null or non-finite components take no part, nor do rows of null vec_id. Equal
-    distances go to the smaller vec_id; rows that repeat a vec_id with one vector
-    count once, and of queries that repeat one the smallest vector is taken. Queries
+    distances go to the smaller vec_id; a vec_id that repeats is found once, at its
+    nearest vector, and of queries that repeat one the smallest vector is taken. Queries
     without candidates, and empty tables, give no rows. With fewer than k candidates
     in the leaves visited, all leaves are visited.
     """
@@ -174,50 +250,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     rows, d = valid(vectors.where(F.col("vec_id").isNotNull()))
     if not d:
         return spark.createDataFrame([], OUT)
-    twins = Window.partitionBy("v").orderBy("vec_id")
-    distinct = rows.groupBy("v", "vec_id").agg(F.lit(1).alias("_"))
+    hashed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})  # 128 bits stand for a vector
+    twins = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    distinct = hashed.dropDuplicates(["vec_id", "h1", "h2"])
     rows = checkpointed(distinct.withColumn("n", F.row_number().over(twins)).where(F.col("n") <= k + 1).select("vec_id", "v"))
     total = rows.count()
     share = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / total)) + 1
-    sample = rows.where(share).orderBy(F.xxhash64("vec_id", F.lit("order"))).limit(SAMPLE).collect()
-    sample = sample or rows.limit(SAMPLE).collect()
-    tree = Tree.fit(np.array([r.v for r in sample]))
+    sample = rows.where(share).orderBy(F.xxhash64("vec_id", F.lit("order")), "vec_id", "v").limit(SAMPLE).collect()
+    sample = sample or rows.orderBy("vec_id", "v").limit(SAMPLE).collect()
+    tree, filed = grow(Tree.fit(np.array([r.v for r in sample])), rows, d, total)
     visits = calibrate(rows, d, tree, k, sample[:CALIBRATION])
-    shared = spark.sparkContext.broadcast((tree.centres, tree.children))
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(*shared.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.file(matrix(b.column(1), d))), b.column(0), b.column(1)], ["leaf", "id", "v"])
+    sizes = checkpointed(filed.groupBy("leaf").agg(F.count("*").alias("n")))  # a row for each leaf
+    held_by = {r[0]: r[1] for r in sizes.collect()}
+    shared = spark.sparkContext.broadcast((tree.centres, tree.children, held_by))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(*shared.value)
+        centres, children, held_by = shared.value
+        tree = Tree(centres, children)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                paths = [walk_one(tree, q) for q in matrix(part.column(1), d)]
+                paths = [walk_one(tree, held_by, q) for q in matrix(part.column(1), d)]
                 take = pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), part.column(0).take(take), part.column(1).take(take)], ["leaf", "id", "v"])
 
-    def walk_one(tree: Tree, q: np.ndarray) -> np.ndarray:
+    def walk_one(tree: Tree, held_by: dict[int, int], q: np.ndarray) -> np.ndarray:
         found, held = [], 0
-        for leaf in tree.visit(q):
-            if len(found) >= visits and held > k:
+        for nth, leaf in enumerate(tree.visit(q)):
+            if nth >= visits and held > k:
                 break
-            found.append(leaf)
-            held += held_by.get(leaf, 0)
+            if leaf in held_by:
+                found.append(leaf)
+                held += held_by[leaf]
         return np.array(found, np.int64)
 
-    filed = checkpointed(rows.mapInArrow(file, "leaf long, id long, v array<double>"))
-    held_by = {r[0]: r[1] for r in filed.groupBy("leaf").count().collect()}  # as many as the tree has leaves, at most
-    cut = {leaf: -(-n // CHUNK) for leaf, n in held_by.items() if n > CHUNK}
-    chunks = F.lit(1)
-    for leaf, n in cut.items():
-        chunks = F.when(F.col("leaf") == leaf, n).otherwise(chunks)
+    chunks = F.broadcast(sizes.select("leaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
     asked, _ = valid(queries.where(F.col("vec_id").isNotNull()))
     asked = asked.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(walk, "leaf long, id long, v array<double>").select("leaf", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("asks"), "id", "v")
-    base = filed.select("leaf", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(0).alias("asks"), "id", "v")
+    asked = asked.mapInArrow(walk, FILED).join(chunks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("asks"), "id", "v")
+    base = filed.join(chunks, "leaf").select("leaf", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("asks"), "id", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, x, ids = None, [], []
@@ -240,4 +311,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     dealt = base.unionByName(asked).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "asks")
     found = dealt.mapInArrow(compare, "query_id long, vec_id long, score double")
     top = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,7 +33,7 @@ def test_recall(spark):
     assert want.keys() == got.keys()
     exact = dict
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.95
+    assert hits / sum(map(len, want.values())) >= 0.97  # calibrated for 0.98 on 128 queries, so a little less may come out
     for q in want:
         assert len(got[q]) == 10 and [s for _, s in got[q]] == sorted(s for _, s in got[q])
         assert all(abs(s - exact(want[q])[i]) < 1e-12 for i, s in got[q] if i in exact(want[q]))
@@ -57,3 +57,39 @@ def test_few_rows(spark, n):
     df = spark.createDataFrame([(100 * i, [1.0, float(i)], 0) for i in range(n)], VECTORS)
     got = found(df)
     assert {q: len(v) for q, v in got.items()} == ({100 * i: n - 1 for i in range(n)} if n > 1 else {})
+
+
+def test_leaves_follow_rows(spark, monkeypatch):
+    """A tree grown in executors: more leaves, none with many rows, recall as calibrated, far fewer rows compared."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)
+    monkeypatch.setattr(ann, "SAMPLE", 600)
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((40, 8)) * 3
+    x = centres[r.integers(0, 40, 6000)] + r.standard_normal((6000, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    rows, d = ann.valid(df)
+    top = ann.Tree.fit(np.array([v.v for v in rows.where("vec_id < 600").collect()]))
+    before = top.leaves
+    tree, filed = ann.grow(top, rows, d, 6000)
+    sizes = [r[1] for r in filed.groupBy("leaf").count().collect()]
+    assert before < 10 and tree.leaves > 100 and sum(sizes) == 6000 and max(sizes) < 200
+    again = dict(filed.select("id", "leaf").collect())
+    ids = np.arange(0, 6000, 37)
+    assert tree.file(x[ids]).tolist() == [again[i] for i in ids.tolist()]  # a row's leaf is the one that walks lead to
+    assert sorted(tree.visit(x[0])) == [i for i, c in enumerate(tree.children) if not c]
+    want, got = brute([tuple(t) for t in df.collect()]), found(df)
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.95
+
+
+def test_a_repeated_id_is_found_once(spark):
+    rows = [(0, [1.0, 0.0], 0)] + [(1, [1.0, 0.1 * i], 0) for i in range(1, 30)] + [(2, [5.0, 5.0], 0), (3, [1.0, 4.0], 0), (2, [5.0, 5.0], 0)]
+    got = found(spark.createDataFrame(rows, VECTORS))
+    assert [i for i, _ in got[0]] == [1, 3, 2] and abs(got[0][0][1] - 0.1) < 1e-7
+
+
+def test_long_vectors(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(5000).tolist(), 0) for i in range(130)]
+    got, want = found(spark.createDataFrame(rows, VECTORS)), brute(rows)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
