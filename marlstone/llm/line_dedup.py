@@ -3,9 +3,9 @@
 Each document's lines become rows (doc_id, text hash, position, 128-bit key
 hash). The rows are range-partitioned by the key hash with a secondary sort by
 document and position; one streaming pass over each key marks the lines beyond
-the keeper. Keys so common that they would swamp one range are found first by a
-frequent-items sketch of bounded size, counted with map-side combining, and
-their (few) verdicts are broadcast. What leaves is a run-length bitmap of kept
+the keeper. Keys so common that they would swamp one range are found first by
+frequent-items sketches of bounded size, counted with map-side combining, and
+their verdicts, at most HOT_SHARE, are broadcast. What leaves is a run-length bitmap of kept
 lines per document, never text.
 """
 
@@ -18,10 +18,10 @@ from .common import checkpointed, let, unused
 
 SPACE = " \t\n\u000b\u000c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A key with over 1/HOT_SHARE of all lines takes the pre-aggregated way.
-HOT_SHARE = 1000
-#: So many counters has the sketch; its error is below 1/HOT_SHARE of the lines.
-SKETCH_ITEMS = 8192
+#: A key with over 1/HOT_SHARE of all lines takes the pre-aggregated way. A range holds such a share of them at least, unless there are more ranges.
+HOT_SHARE = 20_000
+#: So many counters has a sketch; its error is below 1/HOT_SHARE of the lines. Sketches of tasks are merged in so many groups, level by level.
+SKETCH_ITEMS, MERGES = 1 << 16, (4096, 64, 1)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -44,9 +44,17 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
+def frequent(rows: DataFrame) -> DataFrame:
+    """One row (n, s): the number of rows and a frequent-items sketch of h1, merged through a tree so that no task takes the sketches of all others."""
+    sketches = rows.select("h1", F.spark_partition_id().alias("p")).groupBy((F.col("p") % MERGES[0]).alias("p")).agg(F.expr(f"approx_top_k_accumulate(h1, {SKETCH_ITEMS})").alias("s"), F.count("*").alias("n"))
+    for groups in MERGES[1:]:
+        sketches = sketches.groupBy((F.col("p") % groups).alias("p")).agg(F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"), F.sum("n").alias("n"))
+    return sketches
+
+
 def dropped_lines(rows: DataFrame, min_docs: int) -> DataFrame:
     """(doc_id, th, pos) of lines that go: their key is in min_docs documents and theirs isn't the largest doc_id."""
-    share = rows.agg(F.expr(f"approx_top_k(h1, {HOT_SHARE}, {SKETCH_ITEMS})").alias("top"), F.count("*").alias("n"))
+    share = frequent(rows).select("n", F.expr(f"approx_top_k_estimate(s, {HOT_SHARE})").alias("top"))
     hot = share.select("n", F.inline("top")).where(F.col("count") * HOT_SHARE > F.greatest("n", F.lit(100 * HOT_SHARE))).select(F.col("item").alias("h1"))  # at most HOT_SHARE rows
 
     common = rows.join(F.broadcast(hot), "h1", "left_semi")
@@ -55,8 +63,11 @@ def dropped_lines(rows: DataFrame, min_docs: int) -> DataFrame:
 
     rest = rows.join(F.broadcast(hot), "h1", "left_anti").repartitionByRange("h1")
     key = Window.partitionBy("h1", "h2")
-    ranked = rest.withColumn("place", F.dense_rank().over(key.orderBy(F.col("doc_id").desc_nulls_last())))
-    ranked = ranked.withColumn("n_docs", F.max("place").over(key))
+    order = key.orderBy(F.col("doc_id").desc_nulls_last(), "pos", "th")
+    other = F.row_number().over(order) == 1
+    other = other | ~F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id"))
+    ranked = rest.withColumn("place", F.sum(other.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = ranked.withColumn("n_docs", F.max("place").over(key))  # spilled to disk where a key has many lines
     gone_rest = ranked.where((F.col("n_docs") >= min_docs) & (F.col("place") > 1)).select("doc_id", "th", "pos")
     return gone_common.unionByName(gone_rest)
 
