@@ -81,12 +81,19 @@ def any_failed():
 def rejected_hosts(measured: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     """(source, host_rate) of hosts whose failure rate, shrunk by the beta prior of all hosts, is at least rate.
 
-    The prior has the mean of all rows and the spread of the hosts' rates, by moments.
+    The prior is fitted by moments, hosts weighing as their rows do: its mean m is the
+    rate of all rows; its strength is 1 / r - 1, r being the part of the hosts' spread
+    that binomial noise doesn't explain,
+    (sum n (p - m)^2 - (k - 1) m (1 - m)) / (m (1 - m) (N - sum n^2 / N - (k - 1))), for k hosts of N rows.
     """
     hosts = measured.groupBy("source").agg(F.count("*").alias("n"), F.sum(any_failed().cast("long")).alias("failed"))
-    mean, spread = hosts.agg(F.sum("failed") / F.sum("n"), F.var_pop(F.col("failed") / F.col("n"))).first()
-    mean, spread = min(max(mean or 0.0, 1e-6), 1 - 1e-6), spread or 0.0
-    strength = min(max(mean * (1 - mean) / spread - 1, 2.0), 1e6) if spread > 0 else 1e6
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    total, bad, k, squares, own = hosts.agg(F.sum(n), F.sum(failed), F.count("*"), F.sum(n * n), F.sum(failed * failed / n)).first()
+    mean = min(max((bad or 0.0) / (total or 1.0), 1e-6), 1 - 1e-6)
+    noise = mean * (1 - mean)
+    spare = noise * ((total or 0.0) - (squares or 0.0) / (total or 1.0) - (k - 1))
+    beyond = ((own or 0.0) - 2 * mean * (bad or 0.0) + mean * mean * (total or 0.0) - noise * (k - 1)) / spare if spare > 0 else 0.0
+    strength = 1 / min(max(beyond, 1e-6), 1 / 3) - 1
     shrunk = (F.col("failed") + strength * mean) / (F.col("n") + strength)
     return hosts.select("source", shrunk.alias("host_rate")).where(F.col("host_rate") >= rate)
 
@@ -96,7 +103,9 @@ def judge(docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
 
     Words are [^\\x20\\x09-\\x0D]+. Null text has none and fails. Rows of null source
     are one host. Null doc_ids and repeated rows are judged like any others, one
-    result each. Other columns are ignored. An empty table gives none.
+    result each. Other columns are ignored. An empty table gives none. Rejected hosts
+    are broadcast if there are at most BROADCAST_HOSTS; beyond that the join is by
+    host, and adaptive execution splits a host of many rows.
     """
     measured = checkpointed(measure(docs))
     bad = checkpointed(rejected_hosts(measured, rate))

@@ -101,8 +101,10 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)) AS failed
   FROM f GROUP BY source),
-prior AS (SELECT least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS mean, var_pop(failed / n) AS spread FROM hosts),
-strength AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2), 1e6) ELSE 1e6 END AS s FROM prior),
+t AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(failed) AS DOUBLE) AS bad, count(*) AS k, sum(n::DOUBLE * n) AS squares, sum(failed::DOUBLE * failed / n) AS own FROM hosts),
+prior AS (SELECT *, least(greatest(bad / total, 1e-6), 1 - 1e-6) AS mean FROM t),
+noise AS (SELECT *, mean * (1 - mean) * (total - squares / total - (k - 1)) AS spare FROM prior),
+strength AS (SELECT mean, 1 / least(greatest(CASE WHEN spare > 0 THEN (own - 2 * mean * bad + mean * mean * total - mean * (1 - mean) * (k - 1)) / spare ELSE 0 END, 1e-6), 1 / 3.0::DOUBLE) - 1 AS s FROM noise),
 bad AS (SELECT source FROM hosts, strength WHERE (failed + s * mean) / (n + s) >= 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, b.source IS NOT NULL AS host_rejected, NOT base_failed AND b.source IS NULL AS kept
 FROM f LEFT JOIN bad b ON f.source IS NOT DISTINCT FROM b.source
