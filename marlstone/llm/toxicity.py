@@ -227,7 +227,9 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 1) -> N
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, rows: int = ROWS, chars: int = CHARS) -> Network:
     """Learn from texts whose label is known, but not from rows whose crc32(doc_id as text) modulo mod is rest.
 
-    A bounded sample is read: about `rows` ids of each label, picked by hash, with texts of up to `chars`. A doc_id with several labels has the highest.
+    A bounded sample is read: about `rows` ids of each label, picked by hash (so that the
+    layout of the tables plays no part), with texts of up to `chars`. A doc_id with
+    several labels has the highest; one with several texts gives each.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % mod != rest))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -236,10 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, rows:
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("y") == label, min(1.0, rows / n)).otherwise(share)
-    picked = known.where(drawn < share).limit(4 * rows)
-    texts = docs.select("doc_id", "text").where(F.char_length("text") <= chars).join(F.broadcast(picked), "doc_id")
-    found = sorted({(r.doc_id, r.text, r.y) for r in texts.select("doc_id", "text", "y").limit(4 * rows).collect()})
-    return fit([(t.encode(), int(y > 0)) for _, t, y in found])
+    order = [F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")]
+    picked = known.where(drawn < share).orderBy(*order).limit(4 * rows)
+    texts = docs.select("doc_id", "text").where(F.char_length("text") <= chars).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
+    found = texts.orderBy(*order, "text").limit(4 * rows).collect()
+    return fit([(t.encode(), int(y > 0)) for _, t, y in sorted((r.doc_id, r.text, r.y) for r in found)])
 
 
 def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3, mod: int = 4, rest: int = 2) -> DataFrame:

@@ -1,6 +1,7 @@
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from marlstone.llm import toxicity as tox
 
@@ -67,3 +68,50 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = tox.score_toxicity(odd_docs.withColumnRenamed("n_chars", "score"), net).collect()
     assert len(got) == 11 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert tox.score_toxicity(no_docs, tox.train(no_docs, labels.limit(0))).count() == 0
+
+
+def plain_score(net, text):
+    """The score of a text, a window and a step at a time."""
+    words = text.split()
+    best = []
+    starts = range(0, max(1, len(words) - tox.WINDOW + tox.STRIDE), tox.STRIDE)
+    for start in starts if words else ():
+        part = words[start : start + tox.WINDOW]
+        x = [np.concatenate([net.p["word"][net.vocabulary.get(p, 0)], mean]) for p, mean in ((w.lower().strip(tox.EDGES), char_mean(net, w.lower().strip(tox.EDGES))) for w in part)]
+        states = []
+        for d in (0, 1):
+            h, found = np.zeros(tox.HIDDEN), []
+            for v in x if d == 0 else x[::-1]:
+                g, rec = v @ net.p["w"][d] + net.p["b"][d], h @ net.p["u"][d]
+                k = tox.HIDDEN
+                z, r = 1 / (1 + np.exp(-(g[:k] + rec[:k]))), 1 / (1 + np.exp(-(g[k : 2 * k] + rec[k : 2 * k])))
+                h = z * h + (1 - z) * np.tanh(g[2 * k :] + r * rec[2 * k :])
+                found.append(h)
+            states.append(found if d == 0 else found[::-1])
+        out = np.array([np.concatenate(pair) for pair in zip(*states, strict=True)])
+        s = np.tanh(out @ net.p["a"]) @ net.p["v"]
+        alpha = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        best.append(float((alpha[:, None] * out).sum(0) @ net.p["o"] + net.p["c"][0]))
+    return 1 / (1 + np.exp(-max(best, default=float(net.p["c"][0]))))
+
+
+def char_mean(net, word):
+    marked = b"^" + word + b"$"
+    grams = [(a * 7919 + b * 104729 + c * 1299709) * 2654435761 % 2**32 >> 21 for a, b, c in zip(marked, marked[1:], marked[2:])]
+    return np.mean([net.p["char"][g] for g in grams], 0) if grams else np.zeros(tox.CHAR_DIM)
+
+
+def test_score_against_a_plain_network():
+    r = np.random.default_rng(3)
+    vocabulary = [b"alpha", b"beta", b"gamma", b"delta", b"awful", b"nice"]
+    net = tox.Network.fresh({w: i for i, w in enumerate(vocabulary, 1)}, r.standard_normal(7))
+    texts = [b" ".join(vocabulary[i] if i < 6 else b"Other%d!," % i for i in r.integers(0, 40, n)) for n in (0, 1, 2, 31, 32, 33, 48, 49, 64, 65, 200)] + ["É été, ÇA 日本".encode(), b"...", b" \n "]
+    got = tox.Scorer(net).score(texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_the_sample_depends_on_rows_not_layout(spark):
+    docs = spark.createDataFrame([(i % 90, f"text {i % 300} here", 1) for i in range(900)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, toxic int, quality int")
+    a, b = (tox.train(d, lab, rows=10) for d, lab in ((docs, labels), (docs.repartition(7, "text"), labels.orderBy(F.rand(1)))))
+    assert a.vocabulary == b.vocabulary and all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
