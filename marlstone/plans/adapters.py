@@ -33,9 +33,16 @@ def kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("lang", F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("value"), "doc_id")
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Order keys of a block.
+BLOCK_KEYS = 100
+
+
+def logs(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Log rows, of blocks first to last if given: the range is put on the stored column, so that the scan can use it."""
     x = table(spark, sf_dir, "lineitem")
-    block = F.floor(F.col("l_orderkey") / 100)
+    x = x if first is None else x.where(F.col("l_orderkey") >= first * BLOCK_KEYS)
+    x = x if last is None else x.where(F.col("l_orderkey") < (last + 1) * BLOCK_KEYS)
+    block = F.floor(F.col("l_orderkey") / BLOCK_KEYS)
     return x.select(block.alias("block_number"), F.col("l_orderkey").alias("tx_hash"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("address"), F.array("l_returnflag", "l_linestatus").alias("topics"), F.col("l_partkey").alias("data"), F.col("l_quantity").cast("long").alias("gas_used"), F.col("l_extendedprice").alias("price"))
 
 

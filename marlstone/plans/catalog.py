@@ -209,7 +209,7 @@ LOG_COLUMNS = ["block_number", "tx_hash", "pos", "address", "data"]
 
 
 def log_query(where: str, **criteria):
-    return f"WITH {LOGS} SELECT block_number, tx_hash, pos, address, data FROM logs WHERE {where}", lambda s, d: c.log_filter(ad.logs(s, d), **criteria).select(*LOG_COLUMNS)
+    return f"WITH {LOGS} SELECT block_number, tx_hash, pos, address, data FROM logs WHERE {where}", lambda s, d: c.log_filter(ad.logs(s, d, criteria.get("first"), criteria.get("last")), **criteria).select(*LOG_COLUMNS)
 
 
 for _name, (_sql, _f) in {

@@ -11,7 +11,7 @@ from marlstone.functions.checkpoints import work_folder
 from marlstone.operators import access as a
 from marlstone.operators import batches as b
 from marlstone.operators import chain as c
-from marlstone.operators import fees, inspection, pool, queues
+from marlstone.operators import fees, inspection, plugins, pool, queues
 from marlstone.plans import adapters as ad
 from marlstone.plans.adapters import KV, LOGS, TRACE, TXS
 from marlstone.plans.catalog import LOG_COLUMNS, SQL, categorised, query
@@ -250,6 +250,37 @@ def call_trees(s, d):
     return pool.run_tracer("call_tree", steps(s, d))
 
 
+pool.tracer("bigrams", "tx long, bigrams string")(plugins.stepwise(plugins.Bigrams))
+
+
+@query(f"""WITH {TXS}, g AS (SELECT sender AS tx, lag(status) OVER (PARTITION BY sender ORDER BY tx_hash) || '-' || status AS gram FROM txs), k AS (SELECT tx, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL)
+SELECT t.tx, '{{' || coalesce(string_agg('"' || gram || '":' || n, ',' ORDER BY gram), '') || '}}' AS bigrams FROM (SELECT DISTINCT sender AS tx FROM txs) t LEFT JOIN k ON k.tx = t.tx GROUP BY 1""")
+def tracer_user_bigrams(s, d):
+    return pool.run_tracer("bigrams", steps(s, d))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN n_name ELSE c_mktsegment END AS c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def lookup_overrides(s, d):
+    x = ad.table(s, d, "customer").join(ad.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    other = x.where("c_custkey % 10 = 0").select("c_custkey", F.col("n_name").alias("c_mktsegment"))
+    return plugins.resolved(x.select("c_custkey", "c_mktsegment"), other, ["c_custkey"])
+
+
+@query("SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b FROM orders")
+def rlp_structs(s, d):
+    word = lambda c: codecs.trim_zeros(codecs.from_hex(F.hex(c)))
+    coded = ad.table(s, d, "orders").select("o_orderkey", codecs.rlp_list(F.array(word(F.col("o_custkey")), F.col("o_orderstatus").cast("binary"))).alias("r"))
+    return coded.select("o_orderkey", plugins.rlp_as("a long, b string")("r").alias("v")).select("o_orderkey", "v.a", "v.b")
+
+
+@query("SELECT lower(hex('secure-key-' || o_orderkey)) AS key, o_orderstatus AS value FROM orders WHERE o_orderkey % 2 = 0")
+def export_preimages(s, d):
+    o = ad.table(s, d, "orders")
+    key = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "secure-key-").otherwise("x"), F.col("o_orderkey").cast("string")).cast("binary")
+    out = plugins.EXPORTERS["preimage"](o.select(key.alias("key"), F.col("o_orderstatus").cast("binary").alias("value")))
+    return out.select(F.lower(F.hex("key")).alias("key"), F.col("value").cast("string").alias("value"))
+
+
 @query(f"WITH {TXS}, x AS (SELECT sender AS tx, status AS slot, arg_min(reward, tx_hash) AS pre, arg_max(reward + gas_used % 2, tx_hash) AS post FROM txs GROUP BY ALL) SELECT tx, slot, pre, post FROM x WHERE pre <> post")
 def prestate_diff(s, d):
     t = ad.txs(s, d).select(F.col("sender").alias("tx"), F.col("tx_hash").alias("seq"), F.lit("a").alias("address"), F.col("status").alias("slot"), F.col("reward").alias("before"), (F.col("reward") + F.col("gas_used") % 2).alias("after"))

@@ -177,3 +177,12 @@ def test_samples_are_uniform_and_favour_the_new(spark):
     assert min(late) > 1700  # weights grow by e every 100 rows
     flat = chain.decaying_sample(df, 100, 1, F.col("t"), 0.0, "id").agg(F.avg("id")).first()[0]
     assert 800 < flat < 1200
+
+
+def test_end_markers_that_do_not_match(spark):
+    from marlstone.sources import grammar
+
+    lines = ["Processing block (start), ID: 5, hash: 0x1", "OPType: Get, key: 41, size: 1", "Processing block (end), ID: 5, hash: 0x1", "Processing block (start), ID: 6, hash: 0x2", "Processing block (end), ID: 7, hash: 0x2"]
+    for some, want in ((lines, [7]), (lines[:3], []), (lines[2:3], [5]), ([], [])):
+        df = spark.createDataFrame([("f", 0, i, x) for i, x in enumerate(some)], "file string, split_start long, mid long, line string")
+        assert [r.end_id for r in grammar.mismatched_ends(grammar.segments(grammar.parse(df))).collect()] == want

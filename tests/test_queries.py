@@ -47,8 +47,11 @@ def test_entry(spark):
 
 
 def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = registry.queries()["prefix_scan"](spark, SMALL)._jdf.queryExecution().toString()
     assert "StringStartsWith(p_name,small )" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
+    plan = registry.queries()["log_filter_range"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(l_orderkey,1000)" in plan and "LessThan(l_orderkey,2100)" in plan
     plan = registry.queries()["read_pairs_all_distances"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [lag") == 1  # all distances in one pass
 
