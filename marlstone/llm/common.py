@@ -1,10 +1,7 @@
-"""Shared kernels: Arrow text buffers, word hashing, checkpoints."""
+"""Shared kernels: Arrow text buffers, word hashing, joins of hot keys, names that don't clash."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,38 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.checkpoints import checkpointed  # noqa: F401, for all operators here
+
 #: Bytes of the class [\x20\x09-\x0D]; bytes.split() without an argument splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Seconds between two requests to collect garbage, and the time of the last one.
-RELEASE, released = 4.0, 0.0
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder named in spark.checkpoint.dir.
-
-    The folder must be one that all executors share. Where none is set, a local
-    master (tests, a notebook) gets a folder of its own; on a cluster that is an error.
-    Spark removes files of shuffles, and of checkpoints if
-    spark.cleaner.referenceTracking.cleanCheckpoints is on, once the driver's JVM has
-    collected what they belong to. A driver that makes little garbage rarely does, so
-    it is asked to, at most every RELEASE seconds.
-    """
-    global released
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[[0-9*]+\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-    out = df.checkpoint()
-    if time.monotonic() - released > RELEASE:
-        spark.sparkContext._jvm.System.gc()
-        released = time.monotonic()
-    return out
-
-
 #: A key with over 1/HOT_KEYS of all rows takes the broadcast way of join_keys; there are fewer than HOT_KEYS such keys.
 HOT_KEYS = 1000
 

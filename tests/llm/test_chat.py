@@ -38,3 +38,9 @@ def test_adjacent_turns_share_a_block(spark):
 @pytest.mark.parametrize("n", [0])
 def test_empty(spark, n):
     assert back(spark.createDataFrame([], "conv_id long, turn long, role string, text string")) == {}
+
+
+def test_a_very_long_turn(spark):
+    long = "\\#<x" * 1_000_000
+    got = back(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string"))
+    assert got[1] == ([("user", "q"), ("assistant", long)], long)

@@ -59,3 +59,15 @@ def test_expectations_are_kept(spark):
         for r in x.collect():
             total[r.doc_id % 5] += r.copies
     assert all(abs(v / (8 * 12) - 1.5) < 0.25 for v in total.values())
+
+
+def test_one_doc_id_with_different_texts_and_columns_that_clash(spark):
+    rows = [(i % 20, " ".join(["w"] * (1 + i % 13)), "ab"[i % 2], "x", i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, th string, size long, target double")
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == 200 and {r.source: r.source_size for r in got} == {s: sum(1 + i % 13 for i in range(200) if "ab"[i % 2] == s) for s in "ab"}
+    assert all(r.taken <= 2 * r["size"] and r.taken == r.copies * r["size"] for r in got)
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) < 13
+    again = sorted(map(str, mixing.mix_sources(df.repartition(5, "size")).collect()))
+    assert again == sorted(map(str, got))

@@ -66,3 +66,9 @@ def test_another_tokenizer_goes_through_its_whole_chain():
     chunks = packing.ChunkIds(path)
     assert chunks.pattern is None
     assert np.frombuffer(chunks.of(b"Hello"), "<u4").tolist() == Tokenizer.from_file(path).encode("Hello", add_special_tokens=False).ids
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 5, None), (None, None, "y", 6, 7)], "doc_id long, text string, start string, length int, sequence_id int")
+    got = sorted((r.doc_id or 0, r.start, r.doc_tokens) for r in packing.pack(df, PATH).collect())
+    assert sorted({(d, n) for d, _, n in got}) == [(0, 1), (1, 4)]
