@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import let
 
 OPEN, SPLIT, NEXT, CLOSE = "### ", ":\n", "<next>", "</turn>\n"
+#: Code points of the pieces that a text is cut into to be read back.
+PIECE = 4096
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 
 
@@ -81,8 +83,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["len"].cast("int")))), "")
+    """All text under the mask, unescaped. The text is cut into pieces first, so a span costs its own length and a piece, wherever it lies."""
+    piece = lambda at: F.floor(at / PIECE).cast("int")
+
+    def span(pieces: Column, s: Column) -> Column:
+        first = piece(s["start"])
+        near = F.array_join(F.slice(pieces, first + 1, piece(s["start"] + s["len"]) - first + 1), "")
+        return unescape(F.substring(near, (s["start"] % PIECE + 1).cast("int"), s["len"].cast("int")))
+
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(pieces, lambda x: F.array_join(F.transform(mask, lambda s: span(x, s)), ""))
 
 
 #: DuckDB: conversations and the two rows of conversation -7.

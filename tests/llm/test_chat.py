@@ -44,3 +44,16 @@ def test_a_very_long_turn(spark):
     long = "\\#<x" * 1_000_000
     got = back(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string"))
     assert got[1] == ([("user", "q"), ("assistant", long)], long)
+
+
+def test_many_turns_are_read_back_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        df = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('é\U0001f600 turn # ', id, ' ', repeat('text ', 10)) text")
+        began = time.monotonic()
+        turns, loss = back(df)[1]
+        took.append(time.monotonic() - began)
+        assert len(turns) == n and loss == "".join(t for r, t in turns if r == "assistant")
+    assert took[1] < 4 * took[0] + 10
