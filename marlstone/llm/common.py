@@ -26,14 +26,18 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: str | list[str], size: str)
     """rows joined to keys, which has one row for each value of `on`; `size` is how many rows have it, or more.
 
     The hot keys are broadcast, so that their rows stay where they are instead of
-    meeting in one task; the others are joined as usual. Both tables are read twice.
+    meeting in one task; the others are joined as usual. Which they are is asked
+    first: a list of fewer than HOT_KEYS numbers, by the first of several columns.
+    Without any there is one plain join; with some both tables are read twice. The
+    first column holds whole numbers, and no column nulls.
     """
     on = [on] if isinstance(on, str) else on
-    total = keys.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) * HOT_KEYS > total
-    hot = F.broadcast(keys.where(is_hot))
-    rest = rows.join(hot.select(*on), on, "left_anti").join(keys.where(~is_hot), on)
-    return rows.join(hot, on).unionByName(rest)
+    total, most = keys.agg(F.sum(size), F.max(size)).first()
+    if not total or most * HOT_KEYS <= total:
+        return rows.join(keys, on)
+    hot = [r[0] for r in keys.where(F.col(size) * HOT_KEYS > total).select(on[0]).distinct().collect()]
+    is_hot = F.expr(f"`{on[0]}` IN ({', '.join(f'{int(x)}L' for x in hot)})")
+    return rows.where(is_hot).join(F.broadcast(keys.where(is_hot)), on).unionByName(rows.where(~is_hot).join(keys.where(~is_hot), on))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

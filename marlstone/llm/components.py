@@ -1,4 +1,4 @@
-"""Connected components of an edge table: union-find inside partitions, star contraction across them."""
+"""Connected components of an edge table: union-find inside partitions of so many edges, star contraction across them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, join_keys
 
 
+#: Edges that one task joins by union-find; so many and fewer need no contraction.
+TASK_EDGES = 50_000
+
+
 class UnionFind(dict):
     def find(self, x: int) -> int:
         root = x
@@ -44,8 +48,11 @@ def forest(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges (u, v) that isn't its component's smallest; component is that one."""
-    edges, before = checkpointed(forest(edges)), None
+    """(node, component) of every node of edges (u, v) that isn't its component's smallest; component is that one. Edges are read twice: checkpoint them."""
+    tasks = -(-edges.count() // TASK_EDGES)
+    edges, before = checkpointed(forest(edges.coalesce(max(1, tasks)))), None
+    if tasks <= 1:
+        return edges.toDF("node", "component")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))

@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     blocks = open_blocks(part).join(sets, "node")
     more = checkpointed(links_in_blocks(blocks, percent))
     if more.limit(1).count():
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        found = components(checkpointed(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
 
     ids = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct().join(nodes.select("node", "doc_id"), "node")
     low = checkpointed(ids.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")))

@@ -72,6 +72,22 @@ def test_keys_are_joined_both_ways(spark, monkeypatch, hot):
     assert not common.join_keys(rows, keys.where("k < 0"), "k", "n").count()
 
 
+@pytest.mark.parametrize("task_edges", [50_000, 40])
+def test_components(spark, monkeypatch, task_edges):
+    from marlstone.llm import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(0, 300, 2)] + [(i, i + 7) for i in range(400, 600)] + [(1000, 1000 + r.randrange(1, 90)) for _ in range(80)] + [(2**62, 5), (2**62, 2**62 + 1)]
+    r.shuffle(edges)
+    sets = components.UnionFind()
+    for a, b in edges:
+        sets.union(a, b)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    assert sorted(map(tuple, components.components(df).collect())) == sorted((u, sets.find(u)) for u in {x for e in edges for x in e} if sets.find(u) != u)
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_large_groups_without_a_centre(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_KEYS", 20)
     monkeypatch.setattr(near_dup, "SMALL_BUCKET", 3)
